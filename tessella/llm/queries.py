@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.llm import quality
+from tessella.llm import quality, toxicity
 
 QUERIES = {
+    "op8_toxicity": toxicity.query,
     "op10_quality_rules": quality.query,
 }
 
