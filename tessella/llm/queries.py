@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import quality, toxicity
+from tessella.llm import near, quality, repeats, toxicity
 
 QUERIES = {
+    "op3_near_duplicates": near.query,
+    "op6_repeated_passages": repeats.query,
     "op8_toxicity": toxicity.query,
     "op10_quality_rules": quality.query,
 }
