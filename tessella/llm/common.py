@@ -48,18 +48,26 @@ def spread(doc_id: Column, salt: int = 0) -> Column:
     return F.xxhash64(F.lit(salt), doc_id)
 
 
-def reliable(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``; a folder of our own is
     set only where that is unset (tests on one machine).
     """
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            import tempfile
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="tessella-shared-")
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
 
-            folder = tempfile.mkdtemp(prefix="tessella-checkpoint-")
-        context.setCheckpointDir(folder)
+
+def reliable(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a checkpoint in the shared folder."""
+    shared_folder(spark)
     return df.checkpoint(eager=True)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import near, quality, repeats, toxicity
+from tessella.llm import bpe, near, packing, quality, repeats, toxicity
 
 QUERIES = {
+    "op1_bpe": bpe.query,
+    "op5_packing": packing.query,
     "op3_near_duplicates": near.query,
     "op6_repeated_passages": repeats.query,
     "op8_toxicity": toxicity.query,
