@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, near, packing, quality, repeats, toxicity
+from tessella.llm import bpe, near, ngram, packing, quality, repeats, toxicity
 
 QUERIES = {
+    "op9_language_model": ngram.query,
     "op1_bpe": bpe.query,
     "op5_packing": packing.query,
     "op3_near_duplicates": near.query,
