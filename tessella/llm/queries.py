@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, forest, near, ngram, packing, quality, repeats, toxicity
+from tessella.llm import bpe, forest, near, ngram, packing, pages, quality, repeats, toxicity
 
 QUERIES = {
+    "op2_main_text": pages.query,
     "op7_hash_forest": forest.query,
     "op9_language_model": ngram.query,
     "op1_bpe": bpe.query,
