@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, forest, near, ngram, packing, pages, quality, repeats, toxicity
+from tessella.llm import bpe, forest, near, ngram, packing, pages, quality, repeats, tokencounts, toxicity
 
 QUERIES = {
+    "op4_token_counts": tokencounts.query,
     "op2_main_text": pages.query,
     "op7_hash_forest": forest.query,
     "op9_language_model": ngram.query,
@@ -16,4 +17,6 @@ QUERIES = {
     "op10_quality_rules": quality.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_token_counts": tokencounts.ORACLE,
+}
