@@ -27,5 +27,5 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-for _module in ("text_queries",):
+for _module in ("text_queries", "evidence_queries"):
     import_module(f"tessella.plans.{_module}")
