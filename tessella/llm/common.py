@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -70,4 +71,12 @@ def shared_folder(spark: SparkSession) -> str:
 def reliable(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Cuts the lineage with a checkpoint in the shared folder."""
     shared_folder(spark)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    free(spark)
+    return out
+
+
+def free(spark: SparkSession) -> None:
+    """Has the driver drop shuffle files and checkpoints that nothing refers to, instead of when its heap fills up."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -11,16 +11,18 @@ lengths:
    the picked runs split all suffixes into groups and no repeat is torn apart.
    Windows of one document that pick the same run form a *region*; one row
    stands for its 18 windows on average.
-2. In a group, the longest prefixes are tried first: equal regions are one
-   node, and every region but that of the smallest doc_id is a repeat as a
-   whole.  Where a group has one region only, that is all.
+2. In a group, the longest paths are tried first: equal regions are one node,
+   and every region but those of the smallest doc_id is a repeat as a whole.
+   Where a group has one region only, that is all.
 3. Only groups with different regions are opened further: the first document
-   of each region sends its windows (in all others they are repeats already), and nodes of depth WINDOW that are reached
-   from several documents are the remaining repeats.
+   of each region sends its windows (in all others they are repeats already),
+   and nodes of depth WINDOW that are reached from several documents are the
+   remaining repeats.  A group of at most GROUP_REGIONS regions is one task's
+   subtree; a larger one is split by the longest prefix, the window itself.
 
 Neighbouring repeats merge into maximal ones.  Hot groups (a passage in a
-third of all documents) are pre-aggregated to a row per node before they are
-shuffled, and joined back with skew handling.
+third of all documents) are merged to a row per node within each batch before
+they are shuffled, and joined back with skew handling.
 
 Edge cases: null and empty texts have no words; a null doc_id has no smaller
 or larger ids, so nothing is removed from it or because of it; rows that
@@ -43,6 +45,8 @@ from tessella.llm.common import arrow_map, arrow_slices, reliable, table, texts
 from tessella.llm.textkernel import Words, find_words, hash_spans, mix64, ngram_hashes, window_hashes
 
 WINDOW, PREFIX = 50, 16
+#: Regions of a group that one task opens together.
+GROUP_REGIONS = 2_000
 _POSITION_BITS = 28
 
 
@@ -94,21 +98,45 @@ def _words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
     return words, hash_spans(raw, words.start, words.end)
 
 
-_REGION = "doc_id long, text_id long, group long, region long, start int, windows int"
+_KEY = ["doc_id", "text_id"]
 
 
 def region_rows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
+    """Every region of every document."""
+
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part, raw, offsets in arrow_slices(batch):
             row, group, region, start, size = regions(*_words_of(raw, offsets), window, prefix)
-            ids = part.select(["doc_id", "text_id"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(group), pa.array(region), pa.array(start, pa.int32()), pa.array(size, pa.int32())], names=["doc_id", "text_id", "group", "region", "start", "windows"])
+            ids = part.select(_KEY).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(group), pa.array(region), pa.array(start, pa.int32()), pa.array(size, pa.int32())], names=[*_KEY, "group", "region", "start", "windows"])
+
+    return arrow_map(docs, run, "doc_id long, text_id int, group long, region long, start int, windows int")
+
+
+def region_nodes(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
+    """(group, region, low, high): the distinct regions of each batch, with the smallest and largest doc_id."""
 
-    return arrow_map(docs, run, _REGION)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for part, raw, offsets in arrow_slices(batch):
+                row, group, region, _, _ = regions(*_words_of(raw, offsets), window, prefix)
+                found.append((np.asarray(part.column(0))[row], group, region))
+            if not found:
+                continue
+            doc_id, group, region = (np.concatenate([f[i] for f in found]) for i in range(3))
+            order = np.lexsort((region, group))
+            doc_id, group, region = doc_id[order], group[order], region[order]
+            if not len(order):
+                continue
+            head = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (region[1:] != region[:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (group[head], region[head], np.minimum.reduceat(doc_id, head), np.maximum.reduceat(doc_id, head))], names=["group", "region", "low", "high"])
+
+    return docs.mapInArrow(run, "group long, region long, low long, high long")
 
 
 def node_rows(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(node, doc_id, text_id, start): the windows of the wanted regions (doc_id, text_id, spans)."""
+    """The windows of the wanted regions (doc_id, text_id, spans): a row for each region, or, of hot groups, for each window."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part, raw, offsets in arrow_slices(batch):
@@ -118,38 +146,93 @@ def node_rows(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataF
             owner = np.repeat(np.arange(part.num_rows), np.asarray(spans.value_lengths()))
             flat = spans.flatten()
             start, size = np.asarray(flat.field("start")).astype(np.int64), np.asarray(flat.field("windows")).astype(np.int64)
-            rows = np.repeat(owner, size)
-            at = np.repeat(start, size) + np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
-            ids = part.select(["doc_id", "text_id"]).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[words.first[rows] + at]), *ids.columns, pa.array(at, pa.int32())], names=["node", "doc_id", "text_id", "start"])
-
-    key = ["doc_id", "text_id"]
-    joined = docs.hint("shuffle_hash").join(wanted.hint("shuffle_hash"), key).select(*key, "spans", "text")
-    return arrow_map(joined, run, "node long, doc_id long, text_id long, start int")
+            group, hot = np.asarray(flat.field("group")), flat.field("hot").to_numpy(zero_copy_only=False).astype(bool)
+            first = words.first[owner] + start
+            cold = np.flatnonzero(~hot)
+            blobs = [nodes[a : a + n].tobytes() for a, n in zip(first[cold].tolist(), size[cold].tolist(), strict=True)]
+            yield _nodes(part, owner[cold], group[cold], start[cold], blobs, False)
+            if hot.any():
+                n = size[hot]
+                at = np.repeat(start[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                rows = np.repeat(owner[hot], n)
+                yield _nodes(part, rows, nodes[words.first[rows] + at], at, [None] * len(at), True)
+
+    joined = docs.hint("shuffle_hash").join(wanted.hint("shuffle_hash"), _KEY).select(*_KEY, "spans", "text")
+    return arrow_map(joined, run, "doc_id long, text_id int, group long, start int, nodes binary, hot boolean")
+
+
+def _nodes(part: pa.RecordBatch, rows: np.ndarray, group: np.ndarray, start: np.ndarray, blobs: list, hot: bool) -> pa.RecordBatch:
+    ids = part.select(_KEY).take(pa.array(rows))
+    return pa.RecordBatch.from_arrays([*ids.columns, pa.array(group, pa.int64()), pa.array(start, pa.int32()), pa.array(blobs, pa.binary()), pa.array(np.full(len(rows), hot))], names=[*_KEY, "group", "start", "nodes", "hot"])
+
+
+def subtree(doc_id: np.ndarray, nodes: list[np.ndarray]) -> list[np.ndarray]:
+    """For each of a group's regions, which of its windows also start in a document with a smaller doc_id."""
+    sizes = [len(n) for n in nodes]
+    flat, owner = np.concatenate(nodes), np.repeat(doc_id, sizes)
+    order = np.lexsort((owner, flat))
+    flat, owner = flat[order], owner[order]
+    head = np.append(True, flat[1:] != flat[:-1])
+    lowest = owner[head][np.cumsum(head) - 1]
+    out = np.empty(len(flat), dtype=bool)
+    out[order] = owner > lowest
+    return np.split(out, np.cumsum(sizes)[:-1])
+
+
+def _open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group -> the repeated spans of each group's regions."""
+    held: list[tuple] = []
+
+    def close() -> Iterator[tuple]:
+        if len({h[0] for h in held}) < 2:
+            return
+        for (doc_id, text_id, _, start, _), hit in zip(held, subtree(np.array([h[0] for h in held]), [np.frombuffer(h[4], dtype=np.int64) for h in held]), strict=True):
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                yield doc_id, text_id, start + a, b - a
+
+    def table_of(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[*_KEY, "start", "windows"])
+
+    for batch in batches:
+        found = []
+        for row in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
+            if held and row[2] != held[0][2]:
+                found += close()
+                held = []
+            held.append(row)
+        yield table_of(found)
+    if held:
+        yield table_of(list(close()))
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    return texts(docs).withColumn("text_id", F.xxhash64("text"))
+    return texts(docs).withColumn("text_id", F.hash("text"))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """doc_id, text_id, spans: the windows (start, windows) of each document that also start in one with a smaller doc_id."""
     spark, named = docs.sparkSession, _named(docs).where("doc_id is not null")
+    # One exchange, by group: all that follows until `useful` needs no other.
+    dealt = region_nodes(named, window, prefix).repartition("group")
+    nodes = dealt.groupBy("group", "region").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    groups = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("regions"), F.min("low").alias("first"), F.max("low").alias("last"), F.max("high").alias("end"))
+    groups = groups.where("first < end").select("group", "regions", (F.col("first") < F.col("last")).alias("open"))
+    useful = nodes.join(groups, "group").where("low < high or open")
+    useful = reliable(spark, useful.select("group", "region", "low", "open", (F.col("regions") > GROUP_REGIONS).alias("hot")))
+
     rows = region_rows(named, window, prefix)
-    nodes = rows.groupBy("group", "region").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    groups = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("regions"), F.min("low").alias("first"), F.max("low").alias("last"))
-    groups = groups.where("regions > 1 and first <> last").select("group", F.lit(True).alias("open"))
-    useful = nodes.join(groups, "group", "left").where("low < high or open")
-    useful = reliable(spark, useful.select("group", "region", "low", F.coalesce("open", F.lit(False)).alias("open")))
-
-    hits = rows.join(useful.select("group", "region", "low", "open"), ["group", "region"]).where("doc_id > low or open")
-    hits = reliable(spark, hits.select("doc_id", "text_id", "start", "windows", (F.col("doc_id") > F.col("low")).alias("whole")))
-    whole = hits.where("whole").select("doc_id", "text_id", "start", "windows")
-    wanted = hits.where("not whole").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    opened = reliable(spark, node_rows(named, wanted, window))
-    shared = opened.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("node", "low")
-    single = opened.join(shared, "node").where("doc_id > low").select("doc_id", "text_id", "start", F.lit(1).alias("windows"))
-    return whole.unionAll(single).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    hits = rows.join(useful, ["group", "region"]).where("doc_id > low or open")
+    hits = reliable(spark, hits.select(*_KEY, "start", "windows", "group", "hot", (F.col("doc_id") > F.col("low")).alias("whole")))
+    whole = hits.where("whole").select(*_KEY, "start", "windows")
+    wanted = hits.where("not whole").groupBy(*_KEY).agg(F.collect_list(F.struct("start", "windows", "group", "hot")).alias("spans"))
+    opened = node_rows(named, wanted, window)
+    cold = opened.where("not hot").repartition("group").sortWithinPartitions("group").mapInArrow(_open_groups, "doc_id long, text_id int, start int, windows int")
+    hot = opened.where("hot").select(*_KEY, F.col("group").alias("node"), "start")
+    shared = hot.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("node", "low")
+    single = hot.join(shared, "node").where("doc_id > low").select(*_KEY, "start", F.lit(1).alias("windows"))
+    return whole.unionAll(cold).unionAll(single).groupBy(*_KEY).agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
 def covered(n_words: int, spans: list[dict] | None, window: int = WINDOW) -> np.ndarray:
@@ -178,9 +261,12 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "text_id", "n_words", "n_removed", "kept"])
 
-    key = ["doc_id", "text_id"]
-    joined = _named(docs).hint("shuffle_hash").join(found.hint("shuffle_hash"), key, "left").select(*key, "text", "spans")
-    return arrow_map(joined, run, "doc_id long, text_id long, n_words long, n_removed long, kept string")
+    schema = "doc_id long, text_id int, n_words long, n_removed long, kept string"
+    named = _named(docs)
+    # The same rows as in `repeats`, so that their exchange is used twice.
+    known = named.where("doc_id is not null").hint("shuffle_hash").join(found.hint("shuffle_hash"), _KEY, "left").select(*_KEY, "text", "spans")
+    nameless = named.where("doc_id is null").select(*_KEY, "text", F.lit(None).cast("array<struct<start:int,windows:int>>").alias("spans"))
+    return arrow_map(known, run, schema).unionAll(arrow_map(nameless, run, schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +283,7 @@ def digest(text: str | None) -> str:
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with its repeats taken out of text (and n_chars); texts without any stay as they are."""
     out = remove(docs, window).where("n_removed > 0").select(F.col("doc_id").alias("own_id"), F.col("text_id").alias("own_text"), "kept")
-    named = docs.withColumn("own_id", F.col("doc_id").cast("long")).withColumn("own_text", F.xxhash64(F.col("text").cast("string")))
+    named = docs.withColumn("own_id", F.col("doc_id").cast("long")).withColumn("own_text", F.hash(F.col("text").cast("string")))
     joined = named.hint("shuffle_hash").join(out.dropDuplicates(["own_id", "own_text"]).hint("shuffle_hash"), ["own_id", "own_text"], "left")
     text = F.coalesce("kept", "text")
     values = {"text": text, "n_chars": F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {"text": text}
