@@ -8,7 +8,10 @@ from pyspark.sql import Window as W
 
 from tessella.functions import text as T
 
-PAGE = W.partitionBy("source").orderBy("page_index")
+
+def by_page():
+    """The pages of a deck in order."""
+    return W.partitionBy("source").orderBy("page_index")
 
 
 def title_score(text: Column, y: Column, shortest: int = 4, longest: int = 180, top: float = 0.25, least_alnum: float = 0.30) -> Column:
@@ -44,12 +47,12 @@ def page_windows(pages: DataFrame, sizes: list[int], stride: int = 1) -> DataFra
 
 def runs(rows: DataFrame, breaks: Column, name: str = "run") -> DataFrame:
     """Numbers the runs of a deck's pages; ``breaks`` says where a new one starts."""
-    return rows.withColumn("_new", F.coalesce(breaks, F.lit(True)).cast("int")).withColumn(name, F.sum("_new").over(PAGE) - 1).drop("_new")
+    return rows.withColumn("_new", F.coalesce(breaks, F.lit(True)).cast("int")).withColumn(name, F.sum("_new").over(by_page()) - 1).drop("_new")
 
 
 def heading_spans(pages: DataFrame, least: int = 2, most: int = 40) -> DataFrame:
     """source, heading, start, end of consecutive pages under one heading; a missing heading breaks a run."""
-    same = (F.lower("heading") == F.lag(F.lower("heading")).over(PAGE)) & (F.length("heading") > 0)
+    same = (F.lower("heading") == F.lag(F.lower("heading")).over(by_page())) & (F.length("heading") > 0)
     found = runs(pages, ~same).where(F.length("heading") > 0).groupBy("source", "run").agg(F.min("page_index").alias("start"), F.max("page_index").alias("end"), F.min_by("heading", "page_index").alias("heading"))
     return found.where((F.col("end") - F.col("start") + 1).between(least, most)).select("source", "heading", "start", "end")
 
@@ -60,7 +63,7 @@ def reveal_groups(pages: DataFrame, least_overlap: float = 0.80, least_shared: i
     Only neighbours are compared, so runs are found by one window, not as a graph.
     """
     rows = pages.withColumn("tokens", F.array_distinct(T.index_tokens(F.col("text")))).drop("text")
-    before = F.lag("tokens").over(PAGE)
+    before = F.lag("tokens").over(by_page())
     shared = F.size(F.array_intersect("tokens", before))
     smaller = F.least(F.size("tokens"), F.size(before))
     joined = (smaller >= least_tokens) & (shared >= least_shared) & (shared / smaller >= least_overlap) & (F.size("tokens") >= shrink * F.size(before))
