@@ -60,6 +60,9 @@ def fit(
     """
     monotone = monotone or {}
     n, width = x.shape
+    if not n or not 0 < y.sum() < n:  # nothing to tell apart
+        none = np.zeros(0, np.int32)
+        return Trees(none, np.zeros(0), none, none, np.zeros(0), none, depth, 0.0)
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(width)]
     binned = np.stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(width)], axis=1)
     slots = max(len(c) for c in cuts) + 1
@@ -110,7 +113,7 @@ def fit(
         right[me] = grow(rows[~goes], level + 1, middle if sign > 0 else low, middle if sign < 0 else high)
         return me
 
-    for _ in range(rounds if n and 0 < y.sum() < n else 0):
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
         grad, hess = p - y, p * (1 - p)
         roots.append(grow(np.arange(n), 0, -4.0, 4.0))
