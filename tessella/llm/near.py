@@ -2,10 +2,12 @@
 
 1. Every text becomes the set of its distinct 5-word shingles; the ``K``
    smallest hashes are its sketch.  Texts with equal sets are one class.
-2. Inverted lists of retained values give candidates.  A pair that can pass
-   must share ``LEAST_SHARED`` retained values, so each class may leave out
-   its ``LEAST_SHARED - 1`` most frequent ones (the prefix filter): frequent
-   passages and lines drop out without losing a pair.
+2. Inverted lists of retained values give candidates.  A single frequent value
+   would bring many strangers together, so an entry is a run of three retained
+   values that follow each other (two in sets under K, one in small sets).  The
+   values of a similar pair's union are shared three times out of four, so runs
+   that both have are certain to occur, while a shared line or passage leaves
+   few of them.
 3. In each list the class with the smallest id is paired with the others.
    The sketch of the union estimates the similarity; pairs far below it go,
    and the full sets of the rest are compared.
@@ -15,9 +17,10 @@
    outside the largest component against those of other components.  So no
    link is lost, and no list is ever expanded into all its pairs at once.
 
-A pair of similarity 0.75 has 24 of 32 retained values in common on average;
-fewer than 9 has a probability below 1e-9.  Sets of fewer than K shingles are
-retained whole, and for them the test is exact.
+At similarity 0.75, no run of three is common to the 64 smallest of a union with
+a probability below 2e-8, no run of two to 32 of them below 4e-8, and fewer than 30
+of 64 values are with 4e-7.  Small sets are listed under their smallest
+hashes, a quarter of them and one, of which a similar pair shares one for sure.
 
 Edge cases: null and empty texts have an empty set and no links; texts of 1 to
 4 words have one shingle, their whole sequence; a null doc_id is returned with
@@ -32,14 +35,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tessella.llm import graph
 from tessella.llm.common import arrow_map, arrow_slices, reliable, spread, table, texts
 from tessella.llm.textkernel import find_words, hash_spans, mix64, ngram_hashes
 
 WORDS, PERCENT = 5, 75
-K, LEAST_SHARED = 32, 9
+K, LEAST_SHARED = 64, 30
+#: Sets from FULL shingles on are listed by runs of three, from HALF on by two; a class in reach of a smaller
+#: partner's scheme is in that scheme as well.
+FULL, HALF = 64, 32
 #: Lists of at most so many members are paired directly; longer ones go through centres first.
 SHORT_LIST = 32
 #: Members of one centre that one task compares in a row.
@@ -77,6 +82,19 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
     return arrow_map(texts(docs), run, "doc_id long, n_shingles long, set_a long, set_b long, sketch array<long>")
 
 
+def list_keys(sketch, n, percent: int = PERCENT):
+    """The inverted lists that a class belongs to."""
+    runs = lambda length: F.transform(F.sequence(F.lit(1), F.size(sketch) - length + 1), lambda i: F.xxhash64(F.lit(length), F.slice(sketch, i, F.lit(length))))
+    single = F.transform(F.slice(sketch, F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int")), lambda x: F.xxhash64(F.lit(1), F.array(x)))
+    none = F.array().cast("array<bigint>")
+    # The larger of a pair has at most 100 / percent times the smaller's shingles.
+    return F.concat(
+        F.when(n >= FULL, runs(3)).otherwise(none),
+        F.when((n >= HALF) & (n * percent < FULL * 100), runs(2)).otherwise(none),
+        F.when(n * percent < HALF * 100, single).otherwise(none),
+    )
+
+
 def _similar_enough(a, b, k: int = K, shared: int = LEAST_SHARED, percent: int = PERCENT):
     """The union-sketch estimate of two sketches; exact if the union is smaller than k."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
@@ -145,16 +163,12 @@ def link(docs: DataFrame) -> DataFrame:
     named = found.where("n_shingles > 0 and doc_id is not null")
     key = ["n_shingles", "set_a", "set_b"]
     classes = reliable(spark, named.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
+    found = reliable(spark, found.drop("sketch"))
+    del named
 
-    postings = classes.select("rep", F.col("n_shingles").alias("n"), F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-    frequent = postings.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    drop = F.least(F.lit(LEAST_SHARED - 1), F.ceil(F.col("s") * PERCENT / 100).cast("int") - 1)
-    lists = (
-        postings.join(frequent, "v")
-        .withColumn("rank", F.row_number().over(W.partitionBy("rep").orderBy(F.desc("df"), F.desc("v"))))
-        .where(F.col("rank") > drop)
-        .select("v", "rep", "n")
-    )
+    lists = classes.select("rep", F.col("n_shingles").alias("n"), F.explode(list_keys(F.col("sketch"), F.col("n_shingles"))).alias("v"))
+    shared = lists.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("v")
+    lists = lists.join(shared, "v")
     lists = reliable(spark, lists)
 
     def star(members: DataFrame, order) -> DataFrame:
@@ -180,6 +194,7 @@ def link(docs: DataFrame) -> DataFrame:
         if more.isEmpty():
             continue
         links = reliable(spark, links.unionAll(verify(docs, more)))
+        del more, pairs, member, open_lists, short, far
     known = graph.components(spark, links)
 
     of_class = classes.join(known, classes.rep == known.node, "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
