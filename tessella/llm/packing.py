@@ -43,7 +43,8 @@ SLACK = 8
 #: Steps between the lengths that combinations of three are made of.
 STRIDE = 16
 ROUNDS = 400
-CACHE = 600_000
+#: Most words in a worker's cache, and most parts of words, which cost the tokenizer.
+CACHE, PARTS = 400_000, 1_500_000
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -71,7 +72,7 @@ class Tokens:
             last = core[-4:].decode("utf-8", "ignore")[-1:]
             cut[w] = (core, w[len(core) :]) if core != w and last.lower()[-1:].isalnum() and b"'" not in w else (w,)
         new = list({p for ps in cut.values() for p in ps}.difference(self.parts))
-        if len(self.parts) > self.most:
+        if len(self.parts) > PARTS:
             self.parts.clear()
             new = list({p for ps in cut.values() for p in ps})
         for p, e in zip(new, self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
