@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 
 from tessella.functions import text as T
 
+#: Sentences that are compared with all concepts at once.
+SLICE = 512
 #: Phrases that make a sentence look like one of a kind.
 CUES = {
     "definition": [" is a ", " is an ", " is the ", " defined as ", " refers to ", " denotes ", " called ", " means "],
@@ -48,19 +50,47 @@ def neighbour_text(rows: DataFrame, around: int = 1) -> DataFrame:
     return rows.withColumn("context", F.array_join(F.collect_list("sentence").over(w), " "))
 
 
-def candidates(sentences: DataFrame, concepts: DataFrame, least_shared: int = 3, broad_share: float = 0.02) -> DataFrame:
-    """item_id, doc_id, sent_idx, shared: sentences that share enough rare tokens with a concept.
+def candidates(sentences: DataFrame, concepts: DataFrame, least_shared: int = 3) -> DataFrame:
+    """item_id, doc_id, sent_idx, shared: sentences that share enough tokens with a concept.
 
-    An equi-join on tokens stands for the product of sentences and concepts:
-    tokens in more than ``broad_share`` of the sentences don't make candidates.
+    Every token counts, however frequent.  Concepts are few: their tokens go to
+    all workers as an inverted list, and a sentence's shared tokens are counted
+    where it is read, so neither sentences nor pairs are exchanged.
     """
-    tokens = sentences.select("doc_id", "sent_idx", F.explode(F.array_distinct(T.content_tokens(F.col("sentence")))).alias("token"))
-    wanted = concepts.select("item_id", F.explode(F.array_distinct(T.content_tokens(F.col("text")))).alias("token"))
-    hits = tokens.join(wanted.select("token").distinct(), "token", "left_semi")
-    total = F.broadcast(sentences.agg(F.count(F.lit(1)).alias("total")))  # one row
-    rare = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(total).where(F.col("df") <= broad_share * F.col("total")).select("token")
-    found = hits.join(rare, "token").join(wanted, "token")
-    return found.groupBy("item_id", "doc_id", "sent_idx").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least_shared)
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    tokens = lambda c: F.array_distinct(T.content_tokens(F.col(c))).alias("tokens")
+    wanted = [r for r in concepts.select("item_id", tokens("text")).collect() if r.tokens]
+    item_type, ids = concepts.schema["item_id"].dataType, list(dict.fromkeys(r.item_id for r in wanted))
+    place = {item: i for i, item in enumerate(ids)}
+    lists: dict[str, list[int]] = {}
+    for r in wanted:
+        for t in r.tokens:
+            lists.setdefault(t, []).append(place[r.item_id])
+    names, sizes = list(lists), np.array([len(v) for v in lists.values()], dtype=np.int64)
+    flat, starts = np.array([i for v in lists.values() for i in v], dtype=np.int64), np.cumsum(sizes) - sizes
+
+    def run(batches):
+        known = pa.array(names, pa.string())
+        for batch in batches if names else ():
+            items = pa.array(ids, batch.schema.field("item_type").type)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = pc.index_in(pc.list_flatten(part["tokens"]), value_set=known)
+                row = pc.list_parent_indices(part["tokens"]).to_numpy()[found.is_valid().to_numpy(zero_copy_only=False)]
+                token = found.drop_null().to_numpy()
+                n = sizes[token]
+                entry = np.arange(n.sum()) + np.repeat(starts[token] - np.cumsum(n) + n, n)
+                pair, shared = np.unique(np.repeat(row.astype(np.int64), n) * len(ids) + flat[entry], return_counts=True)
+                pair, shared = pair[shared >= least_shared], shared[shared >= least_shared]
+                kept = part.take(pa.array(pair // len(ids)))
+                yield pa.RecordBatch.from_arrays([items.take(pa.array(pair % len(ids))), kept["doc_id"], kept["sent_idx"], pa.array(shared, pa.int64())], names=["item_id", "doc_id", "sent_idx", "shared"])
+
+    rows = sentences.select("doc_id", "sent_idx", F.lit(None).cast(item_type).alias("item_type"), tokens("sentence"))
+    of = lambda c: f"{c} {sentences.schema[c].dataType.simpleString()}"
+    return rows.mapInArrow(run, f"item_id {item_type.simpleString()}, {of('doc_id')}, {of('sent_idx')}, shared long")
 
 
 def broad_tokens(concepts: DataFrame, least_concepts: int = 4, least_parents: int = 2) -> DataFrame:
