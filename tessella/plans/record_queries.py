@@ -86,7 +86,7 @@ def json_leaves(spark, sf_dir):
 )
 def two_pass_winners(spark, sf_dir):
     """The best row of each block, then of each fingerprint; rows without a fingerprint pass the second."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.sha1(F.substring("text", 1, 80)).alias("print"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.sha1(F.lower(T.collapse(F.col("text")))).alias("print"))
     order = [F.desc("n_chars"), F.col("doc_id")]
     one = rows.withColumn("place", F.row_number().over(W.partitionBy("source", "print").orderBy(*order))).where("place = 1")
     two = one.withColumn("place", F.when(F.col("print").isNotNull(), F.row_number().over(W.partitionBy("lang", "print").orderBy(*order))).otherwise(1))

@@ -24,3 +24,19 @@ def test_frequent_tokens_make_candidates(spark):
     sentences = spark.createDataFrame([(i, 0, "alpha beta gamma") for i in range(50)] + [(99, 0, "alpha beta other")], "doc_id long, sent_idx int, sentence string")
     concepts = spark.createDataFrame([(1, "Alpha beta gamma delta")], "item_id long, text string")
     assert scoring.candidates(sentences, concepts).count() == 50
+
+
+def folder(spark, at, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_winners_are_those_of_whole_texts(spark, tmp_path):
+    start = "The same opening line. " * 10
+    rows = [(1, start + "one", "en", "a", 9), (2, start + "two", "en", "a", 9), (3, start + " ONE ", "en", "b", 9), (4, None, "en", "a", 0)]
+    found = registry.QUERIES["two_pass_winners"](spark, folder(spark, tmp_path, documents=(rows, DOCS)))
+    assert sorted(r.doc_id for r in found.collect()) == [1, 2, 4]
