@@ -198,6 +198,13 @@ def within_budget(lengths: Column, budget: int) -> Column:
     return step["keep"]
 
 
+def n_within_budget(lengths: Column, budget: int) -> Column:
+    """How many items ``within_budget`` keeps, without an array that grows with them."""
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("kept"))
+    fits = lambda a, n: (a["kept"] == 0) | (a["used"] + n <= budget)
+    return F.aggregate(lengths, start, lambda a, n: F.struct(F.when(fits(a, n), a["used"] + n).otherwise(a["used"]).alias("used"), F.when(fits(a, n), a["kept"] + 1).otherwise(a["kept"]).alias("kept")))["kept"]
+
+
 def greedy_pack(rows: DataFrame, per_page: int = 2, size: int = 8, tolerance: float = 0.05) -> DataFrame:
     """item_id, rank, doc_id, sent_idx: taken one at a time; among those within ``tolerance`` of the best, the page used least so far wins.
 

@@ -433,8 +433,7 @@ def contribution(spark, sf_dir):
   f AS (SELECT doc_id, n, 1 AS i, n[1] AS used, 1 AS kept FROM l UNION ALL SELECT doc_id, n, i + 1, CASE WHEN used + n[i + 1] <= 400 THEN used + n[i + 1] ELSE used END, kept + CASE WHEN used + n[i + 1] <= 400 THEN 1 ELSE 0 END FROM f WHERE i < len(n))
   SELECT doc_id, max(kept) AS n_kept FROM f GROUP BY doc_id""")
 def budgeted_lines(spark, sf_dir):
-    from tessella.operators.scoring import within_budget
+    from tessella.operators.scoring import n_within_budget
 
-    lengths = F.transform(F.slice(F.split("text", "\n", -1), 1, 12), lambda x: F.length(x).cast("bigint"))
-    keep = within_budget(lengths, 400)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(keep, lambda k: k)).alias("n_kept"))
+    lengths = F.transform(F.split("text", "\n", -1), lambda x: F.length(x).cast("bigint"))
+    return table(spark, sf_dir, "documents").select("doc_id", n_within_budget(lengths, 400).alias("n_kept"))

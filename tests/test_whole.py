@@ -40,3 +40,18 @@ def test_winners_are_those_of_whole_texts(spark, tmp_path):
     rows = [(1, start + "one", "en", "a", 9), (2, start + "two", "en", "a", 9), (3, start + " ONE ", "en", "b", 9), (4, None, "en", "a", 0)]
     found = registry.QUERIES["two_pass_winners"](spark, folder(spark, tmp_path, documents=(rows, DOCS)))
     assert sorted(r.doc_id for r in found.collect()) == [1, 2, 4]
+
+
+def plain_budget(lengths, budget):
+    used, kept = 0, 0
+    for n in lengths:
+        if not kept or used + n <= budget:
+            used, kept = used + n, kept + 1
+    return kept
+
+
+def test_budget_goes_over_all_lines(spark, sf, tmp_path):
+    rows = [(1, "\n".join(["x" * 300] * 14 + ["short"]), "en", "a", 9), (2, "\n".join(["ab"] * 500), "en", "a", 9), (3, "x" * 900 + "\ny", "en", "a", 9), (4, "", "en", "a", 0)]
+    for at in (folder(spark, tmp_path, documents=(rows, DOCS)), sf):
+        expected = {r.doc_id: plain_budget(map(len, r.text.split("\n")), 400) for r in table(spark, at, "documents").collect()}
+        assert {r.doc_id: r.n_kept for r in registry.QUERIES["budgeted_lines"](spark, at).collect()} == expected
