@@ -149,7 +149,7 @@ def surface_cleanup(spark, sf_dir):
     "WITH w AS (SELECT item_id, unnest(t) AS x, unnest(range(len(t))) AS p FROM (SELECT item_id, list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 40) AS t FROM benchmark)), f AS (SELECT item_id, x, min(p) AS p FROM w GROUP BY ALL) SELECT item_id, string_agg(x, ' ' ORDER BY p) AS words FROM f GROUP BY item_id",
 )
 def ordered_distinct(spark, sf_dir):
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1), 1, 40)
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_distinct(words), " ").alias("words"))
 
 

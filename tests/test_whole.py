@@ -55,3 +55,9 @@ def test_budget_goes_over_all_lines(spark, sf, tmp_path):
     for at in (folder(spark, tmp_path, documents=(rows, DOCS)), sf):
         expected = {r.doc_id: plain_budget(map(len, r.text.split("\n")), 400) for r in table(spark, at, "documents").collect()}
         assert {r.doc_id: r.n_kept for r in registry.QUERIES["budgeted_lines"](spark, at).collect()} == expected
+
+
+def test_distinct_words_are_those_of_the_whole_text(spark, tmp_path):
+    words = [f"w{i}" for i in range(90)]
+    at = folder(spark, tmp_path, benchmark=([(1, " ".join(words + words[:5]))], "item_id long, text string"))
+    assert registry.QUERIES["ordered_distinct"](spark, at).first().words.split() == words
