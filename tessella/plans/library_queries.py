@@ -282,9 +282,7 @@ _FOLD = "trim(regexp_replace(translate(lower({0}), '‘’“”–— ', '''''\
   FROM w""",
 )
 def text_functions(spark, sf_dir):
-    s = F.substring(F.element_at(T.lines(F.col("text")), 1), 1, 90)
-    rows = table(spark, sf_dir, "documents").select("doc_id", s.alias("s"))
-    s = F.col("s")
+    rows, s = table(spark, sf_dir, "documents"), F.col("text")
     return rows.select(
         "doc_id", T.collapse(s).alias("collapsed"), T.weak_form(s).alias("weak"), T.fingerprint(s).alias("print"), T.slug(s).alias("slug"), T.camel_split(s).alias("camel"), T.acronym(s).alias("acronym"),
         T.heading_form(s).alias("heading"), F.round(T.ratio(s, "A-Za-z0-9"), 4).alias("alnum"), F.array_join(T.index_tokens(s), " ").alias("tokens"), F.array_join(F.transform(T.index_tokens(s), T.stem), " ").alias("stems"),

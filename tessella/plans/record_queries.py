@@ -136,8 +136,7 @@ def deterministic_sample(spark, sf_dir):
   SELECT doc_id, clean, array_to_string(list_filter([CASE WHEN regexp_matches(s, '^[-*•]+\s*') THEN 'bullet' END, CASE WHEN clean <> t THEN 'period' END, CASE WHEN regexp_matches(s, '\s\s') THEN 'blanks' END], lambda x: x IS NOT NULL), ',') AS actions FROM e""",
 )
 def surface_cleanup(spark, sf_dir):
-    s = F.substring(F.element_at(T.lines(F.col("text")), 1), 1, 120)
-    rows = table(spark, sf_dir, "documents").select("doc_id", s.alias("s"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("s"))
     t = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("s", r"^[-*•]+\s*", ""), r"\s+", " "), r"\s+([,.;:])", "$1"))
     rows = rows.withColumn("t", t).withColumn("clean", F.when((F.length("t") > 0) & ~F.col("t").rlike("[.!?]$"), F.concat("t", F.lit("."))).otherwise(F.col("t")))
     log = F.array_compact(F.array(F.when(F.col("s").rlike(r"^[-*•]+\s*"), "bullet"), F.when(F.col("clean") != F.col("t"), "period"), F.when(F.col("s").rlike(r"\s\s"), "blanks")))

@@ -61,3 +61,14 @@ def test_distinct_words_are_those_of_the_whole_text(spark, tmp_path):
     words = [f"w{i}" for i in range(90)]
     at = folder(spark, tmp_path, benchmark=([(1, " ".join(words + words[:5]))], "item_id long, text string"))
     assert registry.QUERIES["ordered_distinct"](spark, at).first().words.split() == words
+
+
+def test_functions_read_whole_texts(spark, tmp_path):
+    start = "- Shared opening words of a line " * 6
+    rows = [(1, start + "\nalpha  Classes ,", "en", "a", 9), (2, start + "\nbeta parties", "en", "a", 9)]
+    at = folder(spark, tmp_path, documents=(rows, DOCS))
+    one, two = registry.QUERIES["text_functions"](spark, at).orderBy("doc_id").collect()
+    assert one.tokens.split() == re.findall("[a-z0-9]+", rows[0][1].lower()) and two.stems.endswith(" beta party")
+    assert one.print != two.print and one.collapsed == " ".join(rows[0][1].split()) and two.slug.endswith("_beta_parties")
+    clean = registry.QUERIES["surface_cleanup"](spark, at).orderBy("doc_id").collect()
+    assert [r.clean.split("line ")[-1] for r in clean] == ["alpha Classes,.", "beta parties."]
