@@ -15,7 +15,8 @@ number is fixed, so are the seeds; learning takes seconds on the driver.
 Edge cases: a null or empty html has an empty text; a page without blocks or
 without article blocks too; a null url or page_id is returned as it is.  A
 <br> is white space; unclosed and misnested tags are closed as browsers do for
-paragraphs, list items and table cells.
+paragraphs, list items and table cells; a <head> that is left open ends where
+something that can't stand in it begins.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ _PART = re.compile(r"[a-zA-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg iframe object select option button canvas math audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
+#: What can stand in <head>; any other tag, and text, ends it.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 _CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 _SCOPE = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr")}
 
@@ -82,14 +85,25 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(text.strip())
 
+    def close_head() -> None:
+        for i, (t, _) in enumerate(stack):
+            if t == "head":
+                close_block()
+                del stack[i:]
+                break
+
     while at < end:
         m = _TAG.search(page, at)
+        raw = page[at : m.start() if m else end]
+        if raw and not raw.isspace():
+            close_head()
+        add(raw)
         if m is None:
-            add(page[at:])
             break
-        add(page[at : m.start()])
         at = m.end()
         closing, tag = m[1], (m[2] or "").lower()
+        if tag and not closing and tag not in _IN_HEAD:
+            close_head()
         if not tag:
             if m[0].startswith("<![CDATA["):
                 add(m[0][9:].removesuffix("]]>"))

@@ -80,6 +80,20 @@ def test_pages_odd(spark):
     assert {r.page_id: r.text for r in got}[5] == ""
 
 
+def test_pages_without_an_end_of_head(spark):
+    body = "<article>" + "".join(f"<p>Sentence number {i} of a story that goes on, with words enough to be read.</p>" for i in range(12)) + "</article>"
+    top = "<!DOCTYPE html><html><head>\n<meta charset=utf-8><title>Name</title><script>x()</script><link rel=a>"
+    closed = pages.blocks(f"{top}</head><body>{body}</body></html>")
+    assert len(closed) == 12
+    assert pages.blocks(f"{top}<body>{body}") == closed
+    for start in ("", "<img src=a>", "<header></header>"):
+        assert [b.text for b in pages.blocks(f"{top}{start}{body}")] == [b.text for b in closed]
+    assert [b.text for b in pages.blocks(f"{top}Plain text <b>bold</b></html>")] == ["Plain text bold"]
+    html = [(1, "u", f"{top}</head><body>{body}</body></html>"), (2, "u", f"{top}<body>{body}")]
+    a, b = pages.extract(spark.createDataFrame(html, "page_id long, url string, html string"), pages.fitted(40)).orderBy("page_id").collect()
+    assert a.text == b.text != ""
+
+
 def test_labeller_on_unseen_templates():
     rng, model = np.random.default_rng(77), pages.fitted(300)
     right = total = 0
