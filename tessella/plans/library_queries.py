@@ -412,7 +412,7 @@ def location_fallback(spark, sf_dir):
 )
 def quote_provenance(spark, sf_dir):
     """Literal matches before normalised ones, then the smallest id.  The quotes are the side that Spark may broadcast."""
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("quote"))
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", T.weak_form(F.col("text")).alias("weak"))
     rows = docs.join(quotes, F.contains("weak", T.weak_form(F.col("quote"))))
     how = F.when(F.contains("text", "quote"), 1).otherwise(2)

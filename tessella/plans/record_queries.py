@@ -114,7 +114,7 @@ def same_parent_hits(spark, sf_dir):
 def retrieval_validation(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     ranked = lexical.top(lexical.bm25(docs, items, "item_id", "text"), "item_id", 3, F.col("doc_id"))
-    gold = docs.select("doc_id", "text").join(items.select("item_id", F.left("text", F.lit(60)).alias("start")), F.contains("text", "start")).select("item_id", "doc_id")
+    gold = docs.select("doc_id", "text").join(items.select("item_id", F.col("text").alias("passage")), F.contains("text", "passage")).select("item_id", "doc_id")
     hit = lambda k: F.coalesce(F.bool_or(F.col("rank") <= k), F.lit(False))
     return gold.join(ranked, ["item_id", "doc_id"], "left").groupBy("item_id").agg(hit(1).alias("top1"), hit(3).alias("top3"))
 

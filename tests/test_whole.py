@@ -72,3 +72,12 @@ def test_functions_read_whole_texts(spark, tmp_path):
     assert one.print != two.print and one.collapsed == " ".join(rows[0][1].split()) and two.slug.endswith("_beta_parties")
     clean = registry.QUERIES["surface_cleanup"](spark, at).orderBy("doc_id").collect()
     assert [r.clean.split("line ")[-1] for r in clean] == ["alpha Classes,.", "beta parties."]
+
+
+def test_passages_are_looked_for_whole(spark, tmp_path):
+    start = "an opening of sixty characters and some more that is shared by both of them "
+    rows = [(1, start + "then other words", "en", "a", 9), (2, "before " + start + "then the rest", "en", "a", 9)]
+    at = folder(spark, tmp_path, documents=(rows, DOCS), benchmark=([(7, start + "then the rest"), (8, start + "nowhere")], "item_id long, text string"))
+    assert [(r.item_id, r.doc_id) for r in registry.QUERIES["quote_provenance"](spark, at).collect()] == [(7, 2)]
+    assert registry.QUERIES["hit_rates"](spark, at).first().n_queries == 1
+    assert [r.item_id for r in registry.QUERIES["retrieval_validation"](spark, at).collect()] == [7]
