@@ -136,18 +136,38 @@ def linked(rows):
     return sorted(((i, len(s), root(i) if i is not None else None, i is None or root(i) == i) for i, s in sets), key=str)
 
 
-@pytest.mark.parametrize("short_list", [32, 1])
-def test_near_duplicates_are_all_pairs(small, odd, none, monkeypatch, short_list):
-    monkeypatch.setattr(near, "SHORT_LIST", short_list)
-    for docs in (odd, small) if short_list > 1 else (odd,):
+@pytest.mark.parametrize(("block", "dense"), [(near.BLOCK, near.DENSE), (3, 1)])
+def test_near_duplicates_are_all_pairs(small, odd, none, monkeypatch, block, dense):
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "DENSE", dense)
+    for docs in (odd, small) if block > 3 else (odd,):
         assert sorted((tuple(r) for r in near.link(docs).collect()), key=str) == linked(pairs_of(docs))
-    if short_list > 1:
+    if block > 3:
         assert near.link(none).count() == 0
 
 
+def test_near_duplicates_one_id_with_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(9, a), (9, b), (3, a + " x"), (5, "y " + b), (7, "alone at last")]
+    assert sorted((tuple(r) for r in near.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == linked(rows)
+
+
+def test_strangers_with_one_passage_leave_no_pairs(spark, monkeypatch):
+    """Two thousand texts of which a passage is more than half are listed together, but no pair of them leaves a list."""
+    emitted = []
+    across = near._across
+    monkeypatch.setattr(near, "_across", lambda *a: emitted.append(across(*a).count()) or across(*a))
+    passage = [f"p{i}" for i in range(90)]
+    rows = [(i, " ".join([*passage, *(f"w{i}x{j}" for j in range(60))])) for i in range(2000)]
+    rows += [(5000, rows[7][1] + " end"), (5001, " ".join(passage))]
+    found = near.link(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.component_id) for r in found.collect() if not r.kept} == {(5000, 7)}
+    assert emitted[0] < 2000
+
+
 def test_near_duplicates_in_a_chain_of_many(spark, monkeypatch):
-    """A large group whose members are linked step by step, longer than a short list."""
-    monkeypatch.setattr(near, "SHORT_LIST", 8)
+    """A large group whose members are linked step by step, longer than a block."""
+    monkeypatch.setattr(near, "BLOCK", 8)
     base = [f"w{i}" for i in range(120)]
     rows = []
     for i in range(60):
