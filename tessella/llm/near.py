@@ -19,9 +19,9 @@
    outside its largest component against all.
 
 At similarity 0.75, fewer than 30 of the union's 64 smallest values are shared
-with a probability below 4e-7, fewer than 70 of 128 (the estimate's longer
-sketches) below 2e-7; sets of up to 48 shingles are compared without any such
-chance.
+with a probability below 4e-7, fewer than 70 of 128 and 333 of 512 (the
+estimate's longer sketches) below 2e-7; sets of up to 48 shingles are compared
+without any such chance.
 
 Edge cases: null and empty texts have an empty set and no links; texts of 1 to
 4 words have one shingle, their whole sequence; a null doc_id is returned with
@@ -45,8 +45,9 @@ from tessella.llm.textkernel import find_words, hash_spans, mix64, ngram_hashes
 
 WORDS, PERCENT = 5, 75
 K, LEAST_SHARED = 64, 30
-#: The longer sketches that estimate, in the tasks of the last step.
+#: The longer sketches that estimate, in the tasks of the last step: first so many values, then more; most sets are whole in these.
 WIDE, WIDE_SHARED = 128, 70
+WIDEST, WIDEST_SHARED = 512, 333
 #: Members of one centre that one task compares in a row.
 STAR_SIZE = 2_000
 #: Members of a list, on either side, that one task compares with each other.
@@ -240,12 +241,15 @@ def list_pairs(v: int, ids: np.ndarray, n: np.ndarray, c: np.ndarray, minor: np.
         first = left[np.arange(len(p)), np.argmax(common, axis=1)] == 0
         p, q = p[first], q[first]
         if len(p):
-            good = estimated(sketch[p], sketch[q])
-            out.append(np.stack([p[good], q[good]], axis=1))
+            good = estimated(sketch[p, :WIDE], sketch[q, :WIDE])
+            p, q = p[good], q[good]
+            for u in range(0, len(p), 256):
+                good = estimated(sketch[p[u : u + 256]], sketch[q[u : u + 256]], WIDEST, WIDEST_SHARED)
+                out.append(np.stack([p[u : u + 256][good], q[u : u + 256][good]], axis=1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def _padded(column: pa.BinaryArray, width: int = WIDE) -> np.ndarray:
+def _padded(column: pa.BinaryArray, width: int = WIDEST) -> np.ndarray:
     parts = [np.frombuffer(x, dtype=np.int64) for x in column.to_pylist()]
     out = np.full((len(parts), width), np.iinfo(np.int64).max, dtype=np.int64)
     for row, part in zip(out, parts, strict=True):
@@ -319,7 +323,7 @@ def link(docs: DataFrame) -> DataFrame:
     lists = reliable(spark, lists.join(lists.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("v"), "v"))
     members = lists.select("rep").distinct()
     sets = reliable(spark, full_sets(docs, members))
-    profile = reliable(spark, profile.select("rep", "shared").join(sets.select("rep", F.substring("shingles", 1, 8 * WIDE).alias("sketch")), "rep"))
+    profile = reliable(spark, profile.select("rep", "shared").join(sets.select("rep", F.substring("shingles", 1, 8 * WIDEST).alias("sketch")), "rep"))
 
     links = reliable(spark, verify(sets, _stars(lists, _heaviest(lists))).unionAll(_same_id(found, classes, key)))
     opened = _open_lists(lists, links)
