@@ -23,10 +23,14 @@ an empty table has no sequences.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -43,65 +47,186 @@ SLACK = 8
 #: Steps between the lengths that combinations of three are made of.
 STRIDE = 16
 ROUNDS = 400
-#: Most words in a worker's cache, and most parts of words, which cost the tokenizer.
-CACHE, PARTS = 400_000, 1_500_000
-_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Most words in a worker's cache.
+CACHE = 1_000_000
+#: Code points below this are cut into parts and lower-cased by a table; words with others go to the library.
+_PLAIN = 0x180
+_NONE = np.iinfo(np.int32).max
+
+
+class Merges:
+    """Byte-pair encoding of many words at once, a merge in every part at a time.
+
+    Holds for vocabularies that mark a part's last symbol, lower-case, and cut
+    words into runs of letters, single digits, and runs of marks.
+    """
+
+    def __init__(self, spec: dict):
+        vocabulary, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        plain = byte_characters()
+        self.inner = np.array([vocabulary[c] for c in plain], dtype=np.int64)
+        self.last = np.array([vocabulary[c + end] for c in plain], dtype=np.int64)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        left, right = (np.array([vocabulary[p[i]] for p in pairs], dtype=np.uint64) for i in (0, 1))
+        cut = len(end)
+        made = [vocabulary[(x[:-cut] if x.endswith(end) and not y else x) + y] for x, y in pairs]
+        self.bits = 20
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.rank = np.full(1 << self.bits, _NONE, dtype=np.int32)
+        self.made = np.array([*made, 0], dtype=np.int64)
+        for r, (key, slot) in enumerate(zip(((left << np.uint64(16)) | right).tolist(), self._slot((left << np.uint64(16)) | right).tolist(), strict=True)):
+            while self.keys[slot] >= 0 and self.keys[slot] != key:
+                slot = (slot + 1) & ((1 << self.bits) - 1)
+            if self.keys[slot] < 0:
+                self.keys[slot], self.rank[slot] = key, r
+        # 0: the library's; 1 letters, 2 digits, 3 marks.
+        self.kind = np.zeros(_PLAIN, dtype=np.uint8)
+        self.lower = np.arange(_PLAIN, dtype=np.uint32)
+        for i in range(33, _PLAIN):
+            c = chr(i)
+            if 0x7F <= i <= 0xA0 or c == "'" or len(c.lower()) > 1 or ord(c.lower()) >= _PLAIN:
+                continue
+            self.kind[i] = 1 if c.isalpha() else 2 if unicodedata.category(c)[0] == "N" else 3
+            self.lower[i] = ord(c.lower())
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, _NONE if it doesn't merge."""
+        key = (left << 16) | right
+        slot = self._slot(key.view(np.uint64))
+        found = self.keys[slot]
+        out = np.where(found == key, self.rank[slot], _NONE)
+        look = np.flatnonzero((found != key) & (found >= 0))
+        while len(look):
+            slot[look] = (slot[look] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[slot[look]]
+            hit = found == key[look]
+            out[look[hit]] = self.rank[slot[look[hit]]]
+            look = look[~hit & (found >= 0)]
+        return out
+
+    def merged(self, symbol: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of parts (part numbers ascend) after all merges, with their parts."""
+        done_symbol, done_part = [], []
+        rank = np.full(len(symbol), _NONE, dtype=np.int32)
+        rank[:-1] = np.where(part[1:] == part[:-1], self.ranks(symbol[:-1], symbol[1:]), _NONE)
+        while len(symbol):
+            head = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            size = np.diff(np.append(head, len(part)))
+            least = np.minimum.reduceat(rank, head)
+            going = np.repeat(least != _NONE, size)
+            done_symbol.append(symbol[~going])
+            done_part.append(part[~going])
+            at = np.flatnonzero((rank == np.repeat(least, size)) & going)
+            at = at[np.append(True, part[at[1:]] != part[at[:-1]])] if len(at) else at  # the leftmost of each part
+            symbol[at] = self.made[rank[at]]
+            stays = going
+            stays[at + 1] = False
+            # Only pairs at the merged symbol have changed.
+            moved = np.cumsum(stays) - 1
+            at = moved[at]
+            symbol, part, rank = symbol[stays], part[stays], rank[stays]
+            for i in (at, at[at > 0] - 1):
+                inside = i[i + 1 < len(symbol)]
+                rank[i] = _NONE
+                rank[inside] = np.where(part[inside] == part[inside + 1], self.ranks(symbol[inside], symbol[inside + 1]), _NONE)
+        symbol, part = np.concatenate([*done_symbol, np.zeros(0, np.int64)]), np.concatenate([*done_part, np.zeros(0, np.int64)])
+        order = np.argsort(part, kind="stable")
+        return symbol[order], part[order]
+
+    def encode(self, words: list[str]) -> list[bytes | None]:
+        """The ids of each word as little-endian 16-bit numbers; None for those that only the library can cut."""
+        if not words:
+            return []
+        point = np.frombuffer(" ".join(words).encode("utf-32-le"), dtype=np.uint32)
+        size = np.array([len(w) for w in words])
+        word = np.repeat(np.arange(len(words)), size)
+        point = point[np.arange(len(word)) + word]  # without the blanks
+        kind = np.where(point < _PLAIN, self.kind[np.minimum(point, _PLAIN - 1)], 0)
+        plain = np.ones(len(words), dtype=bool)
+        plain[word[kind == 0]] = False
+        keep = plain[word]
+        word, kind, point = word[keep], kind[keep], self.lower[np.minimum(point[keep], _PLAIN - 1)]
+        fresh = np.ones(len(word), dtype=bool)
+        fresh[1:] = (word[1:] != word[:-1]) | (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        part = np.cumsum(fresh) - 1
+        wide = (point >= 0x80).astype(np.int64)
+        place = np.arange(len(point)) + np.cumsum(wide)  # of each code point's last byte
+        symbol = np.empty(len(point) + int(wide.sum()), dtype=np.int64)
+        two = wide.astype(bool)
+        symbol[place[two] - 1] = self.inner[0xC0 | (point[two] >> 6)]
+        byte = np.where(two, 0x80 | (point & 0x3F), point)
+        ends = np.append(fresh[1:], True) if len(fresh) else fresh
+        symbol[place] = np.where(ends, self.last[byte], self.inner[byte])
+        of_word = word[fresh]
+        ids, part = self.merged(symbol, np.repeat(part, 1 + wide))
+        count = np.bincount(of_word[part], minlength=len(words)) if len(part) else np.zeros(len(words), np.int64)
+        blob, edge = ids.astype("<u2").tobytes(), np.concatenate([[0], np.cumsum(2 * count)]).tolist()
+        return [blob[a:b] if p else None for a, b, p in zip(edge[:-1], edge[1:], plain.tolist(), strict=True)]
+
+
+def byte_characters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
 class Tokens:
     """Ids of whole texts by a word-level cache over a tokenizer that drops white space.
 
     The tokenizer lower-cases and never joins what white space parts, so words
-    can be encoded one by one; ASCII marks at a word's end are words of their
-    own to it, if a letter or digit stands before them.
+    can be encoded one by one: those of plain letters, digits and marks by
+    :class:`Merges`, all others by the library itself.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.merges = Merges(json.load(f))
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
         self.most = cache
 
-    def _learn(self, words: set[bytes]) -> None:
-        cut = {}
-        for w in words:
-            core = w.rstrip(_MARKS)
-            last = core[-4:].decode("utf-8", "ignore")[-1:]
-            cut[w] = (core, w[len(core) :]) if core != w and last.lower()[-1:].isalnum() and b"'" not in w else (w,)
-        new = list({p for ps in cut.values() for p in ps}.difference(self.parts))
-        if len(self.parts) > PARTS:
-            self.parts.clear()
-            new = list({p for ps in cut.values() for p in ps})
-        for p, e in zip(new, self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-            self.parts[p] = np.array(e.ids, dtype="<u2").tobytes()
-        parts = self.parts
-        for w, ps in cut.items():
-            self.known[w] = b"".join([parts[p] for p in ps])
+    def _learn(self, words: list[bytes]) -> None:
+        text = [w.decode() for w in words]
+        found = self.merges.encode(text)
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch([text[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = np.array(e.ids, dtype="<u2").tobytes()
+        self.known.update(zip(words, found, strict=True))
 
     def encode(self, column: list[bytes | None]) -> list[np.ndarray]:
         """The ids of each text (UTF-8), with the closing id."""
-        out: list[np.ndarray | None] = [None] * len(column)
-        cut: list[list[bytes]] = []
-        for i, text in enumerate(column):
-            words = (text or b"").lower()
-            if b"<|" in words and any(s in words for s in self.special):  # only exact special tokens count: as the library finds them
-                ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
-                out[i] = np.array([*ids, CLOSING_ID], dtype="<u4")
-                words = b""
-            cut.append(words.split())
-        need = set().union(*cut)
-        if len(self.known) + len(need) > self.most:
+        out: list[np.ndarray | None] = []
+        waits, missing = [], set()
+        get, close = self.known.get, np.array([CLOSING_ID], dtype="<u2").tobytes()
+        if len(self.known) > self.most:
             self.known.clear()
-        need.difference_update(self.known)
-        if need:
-            self._learn(need)
-        get, close = self.known.__getitem__, np.array([CLOSING_ID], dtype="<u2").tobytes()
-        for i, words in enumerate(cut):
-            if out[i] is None:
-                out[i] = np.frombuffer(b"".join(map(get, words)) + close, dtype="<u2").astype("<u4")
+        for text in column:
+            low = (text or b"").lower()
+            if b"<|" in low and any(s in low for s in self.special):  # only exact special tokens count: as the library finds them
+                ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+                out.append(np.array([*ids, CLOSING_ID], dtype="<u4"))
+                continue
+            words = low.split()
+            found = list(map(get, words))
+            if lacks := list(compress(range(len(words)), map(not_, found))):
+                missing.update(words[i] for i in lacks)
+                waits.append((len(out), words, found, lacks))
+                out.append(None)
+            else:
+                out.append(np.frombuffer(b"".join(found) + close, dtype="<u2").astype("<u4"))
+        if missing:
+            self._learn(list(missing))
+        for at, words, found, lacks in waits:
+            for i in lacks:
+                found[i] = self.known[words[i]]
+            out[at] = np.frombuffer(b"".join(found) + close, dtype="<u2").astype("<u4")
         return out
 
 

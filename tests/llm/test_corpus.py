@@ -2,6 +2,8 @@
 
 import hashlib
 import html
+import json
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -429,3 +431,17 @@ def test_pipeline_stages_are_the_operators(spark, sf):
             assert all(repeats.digest(t) == expected[i][1] for i, t in pairs_of(out))
         docs = out
     assert pipeline.STAGES[4][1](spark, docs, sf).select("doc_id").distinct().count() == docs.count()
+
+
+def test_words_are_merged_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path(packing.VOCABULARY)
+    with open(path, encoding="utf-8") as f:
+        merges, library = packing.Merges(json.load(f)), Tokenizer.from_file(path)
+    r = random.Random(3)
+    made = ["".join(r.choice("aAbBéÉßÿŸſİµªº²½0123.,-_#$%&\"()ĳŉabcdefghij漢") for _ in range(r.randint(1, 14))) for _ in range(3000)] + ["aaaaaaaa", "anan" * 9, "x" * 300]
+    found = merges.encode(made)
+    assert 0 < sum(x is None for x in found) < 1500
+    assert all(x is None or np.frombuffer(x, "<u2").tolist() == library.encode(w, add_special_tokens=False).ids for w, x in zip(made, found, strict=True))
+    assert merges.encode([]) == []
