@@ -58,8 +58,7 @@ _CANDIDATES = f"""
 {SENTENCES}, {CONCEPTS},
 tok AS (SELECT doc_id, sent_idx, unnest(list_distinct({content("sentence")})) AS token FROM sentences),
 want AS (SELECT item_id, unnest(list_distinct({content("text")})) AS token FROM concepts),
-rare AS (SELECT token FROM tok WHERE token IN (SELECT token FROM want) GROUP BY token HAVING count(*) <= 0.02 * (SELECT count(*) FROM sentences)),
-candidates AS (SELECT item_id, doc_id, sent_idx, count(*) AS shared FROM tok JOIN rare USING (token) JOIN want USING (token) GROUP BY ALL HAVING count(*) >= 3)
+candidates AS MATERIALIZED (SELECT item_id, doc_id, sent_idx, count(*) AS shared FROM tok JOIN want USING (token) GROUP BY ALL HAVING count(*) >= 3)
 """
 
 

@@ -261,13 +261,12 @@ def exchange_assignment(spark, sf_dir):
 
 # ---- functions
 
-_S = "substr(string_split_regex(text, '\\r?\\n')[1], 1, 90)"
 _FOLD = "trim(regexp_replace(translate(lower({0}), '‘’“”–— ', '''''\"\"-- '), '\\s+', ' ', 'g'))"
 
 
 @query(
     "text_functions",
-    rf"""WITH s AS (SELECT doc_id, {_S} AS s FROM documents), c AS (SELECT doc_id, s, {COLLAPSE.format("s")} AS b FROM s),
+    rf"""WITH s AS (SELECT doc_id, text AS s FROM documents), c AS (SELECT doc_id, s, {COLLAPSE.format("s")} AS b FROM s),
   w AS (SELECT *, list_filter(string_split(b, ' '), lambda w: regexp_matches(w, '^[A-Za-z]')) AS ws FROM c)
   SELECT doc_id, b AS collapsed, {_FOLD.format("s")} AS weak, sha1({_FOLD.format("s")}) AS print,
     regexp_replace(regexp_replace(lower(s), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
@@ -406,7 +405,7 @@ def location_fallback(spark, sf_dir):
 
 @query(
     "quote_provenance",
-    f"""WITH q AS (SELECT item_id, left(text, 60) AS quote FROM benchmark),
+    f"""WITH q AS (SELECT item_id, text AS quote FROM benchmark),
   m AS (SELECT item_id, doc_id, CASE WHEN contains(d.text, quote) THEN 1 WHEN contains({_FOLD.format("d.text")}, {_FOLD.format("quote")}) THEN 2 END AS how FROM q JOIN documents d ON contains({_FOLD.format("d.text")}, {_FOLD.format("quote")}))
   SELECT item_id, doc_id, how FROM m QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY how, doc_id) = 1""",
 )
@@ -427,9 +426,11 @@ def contribution(spark, sf_dir):
     return rows.groupBy("shelf").agg(F.count(F.lit(1)).alias("n"), F.round(100.0 * F.count("has") / F.count(F.lit(1)), 2).alias("percent"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
 
 
-@query("budgeted_lines", r"""WITH RECURSIVE l AS (SELECT doc_id, list_transform(list_slice(string_split(text, chr(10)), 1, 12), lambda x: length(x)) AS n FROM documents),
-  f AS (SELECT doc_id, n, 1 AS i, n[1] AS used, 1 AS kept FROM l UNION ALL SELECT doc_id, n, i + 1, CASE WHEN used + n[i + 1] <= 400 THEN used + n[i + 1] ELSE used END, kept + CASE WHEN used + n[i + 1] <= 400 THEN 1 ELSE 0 END FROM f WHERE i < len(n))
-  SELECT doc_id, max(kept) AS n_kept FROM f GROUP BY doc_id""")
+@query(
+    "budgeted_lines",
+    """WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: {'used': length(x), 'kept': 1::BIGINT}) AS n FROM documents)
+  SELECT doc_id, list_reduce(n, lambda a, b: CASE WHEN a.used + b.used <= 400 THEN {'used': a.used + b.used, 'kept': a.kept + 1} ELSE a END).kept AS n_kept FROM l""",
+)
 def budgeted_lines(spark, sf_dir):
     from tessella.operators.scoring import n_within_budget
 

@@ -9,7 +9,7 @@ from tessella.functions import text as T
 from tessella.functions import vector as V
 from tessella.operators import lexical
 from tessella.plans.registry import query
-from tessella.plans.text_queries import POSTINGS
+from tessella.plans.text_queries import COLLAPSE, POSTINGS
 from tessella.sources.tables import table
 
 
@@ -80,7 +80,7 @@ def json_leaves(spark, sf_dir):
 
 @query(
     "two_pass_winners",
-    f"""WITH a AS (SELECT doc_id, source, lang, n_chars, sha1(substr(text, 1, 80)) AS print FROM documents),
+    f"""WITH a AS (SELECT doc_id, source, lang, n_chars, sha1(lower({COLLAPSE.format("text")})) AS print FROM documents),
   one AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY source, print ORDER BY n_chars DESC, doc_id) = 1)
   SELECT doc_id FROM one WHERE print IS NULL UNION ALL SELECT doc_id FROM (SELECT * FROM one WHERE print IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lang, print ORDER BY n_chars DESC, doc_id) = 1)""",
 )
@@ -108,7 +108,7 @@ def same_parent_hits(spark, sf_dir):
 @query(
     "retrieval_validation",
     f"""WITH {POSTINGS}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores QUALIFY rank <= 3),
-  gold AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60)))
+  gold AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
   SELECT item_id, coalesce(bool_or(r.rank = 1), false) AS top1, coalesce(bool_or(r.rank <= 3), false) AS top3 FROM gold g LEFT JOIN r USING (item_id, doc_id) GROUP BY item_id""",
 )
 def retrieval_validation(spark, sf_dir):
@@ -130,7 +130,7 @@ def deterministic_sample(spark, sf_dir):
 
 @query(
     "surface_cleanup",
-    r"""WITH s AS (SELECT doc_id, substr(string_split_regex(text, '\r?\n')[1], 1, 120) AS s FROM documents),
+    r"""WITH s AS (SELECT doc_id, text AS s FROM documents),
   c AS (SELECT doc_id, s, trim(regexp_replace(regexp_replace(regexp_replace(s, '^[-*•]+\s*', ''), '\s+', ' ', 'g'), '\s+([,.;:])', '\1', 'g')) AS t FROM s),
   e AS (SELECT *, CASE WHEN length(t) > 0 AND NOT regexp_matches(t, '[.!?]$') THEN t || '.' ELSE t END AS clean FROM c)
   SELECT doc_id, clean, array_to_string(list_filter([CASE WHEN regexp_matches(s, '^[-*•]+\s*') THEN 'bullet' END, CASE WHEN clean <> t THEN 'period' END, CASE WHEN regexp_matches(s, '\s\s') THEN 'blanks' END], lambda x: x IS NOT NULL), ',') AS actions FROM e""",
@@ -145,7 +145,7 @@ def surface_cleanup(spark, sf_dir):
 
 @query(
     "ordered_distinct",
-    "WITH w AS (SELECT item_id, unnest(t) AS x, unnest(range(len(t))) AS p FROM (SELECT item_id, list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 40) AS t FROM benchmark)), f AS (SELECT item_id, x, min(p) AS p FROM w GROUP BY ALL) SELECT item_id, string_agg(x, ' ' ORDER BY p) AS words FROM f GROUP BY item_id",
+    "WITH w AS (SELECT item_id, unnest(t) AS x, unnest(range(len(t))) AS p FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark)), f AS (SELECT item_id, x, min(p) AS p FROM w GROUP BY ALL) SELECT item_id, string_agg(x, ' ' ORDER BY p) AS words FROM f GROUP BY item_id",
 )
 def ordered_distinct(spark, sf_dir):
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)

@@ -71,7 +71,7 @@ def library_search(spark, sf_dir):
     return lexical.top(total, "item_id", 10, F.col("doc_id"))
 
 
-_GOLD = "gold AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60)))"
+_GOLD = "gold AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
 @query(
