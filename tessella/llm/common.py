@@ -49,11 +49,20 @@ def spread(doc_id: Column, salt: int = 0) -> Column:
     return F.xxhash64(F.lit(salt), doc_id)
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    lead = "own"
+    while any(f"{lead}_{n}".lower() in taken for n in names):
+        lead += "_"
+    return [f"{lead}_{n}" for n in names]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``; a folder of our own is
-    set only where that is unset (tests on one machine).
+    made only where that is unset and the master is this machine (tests).
     """
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
@@ -61,6 +70,8 @@ def shared_folder(spark: SparkSession) -> str:
         return found.get()
     folder = context.getConf().get("spark.checkpoint.dir")
     if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="tessella-shared-")

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import graph
-from tessella.llm.common import arrow_map, arrow_slices, reliable, spread, table, texts
+from tessella.llm.common import arrow_map, arrow_slices, private, reliable, spread, table, texts
 from tessella.llm.textkernel import find_words, hash_spans, mix64, ngram_hashes
 
 WORDS, PERCENT = 5, 75
@@ -355,5 +355,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns."""
-    gone = link(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    (own,) = private(docs, "id")
+    gone = link(docs).where("not kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(own), "left_anti")

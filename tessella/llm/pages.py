@@ -16,15 +16,20 @@ Edge cases: a null or empty html has an empty text; a page without blocks or
 without article blocks too; a null url or page_id is returned as it is.  A
 <br> is white space; unclosed and misnested tags are closed as browsers do for
 paragraphs, list items and table cells; a <head> that is left open ends where
-something that can't stand in it begins.
+something that can't stand in it begins.  Cutting a page into blocks takes a
+time in proportion to its length, whatever is left open in it.  Rows that
+repeat an id or a page are extracted each on its own; an empty table has no
+rows, and columns other than page_id, url and html aren't read.
 """
 
 from __future__ import annotations
 
 import html as html_module
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +46,8 @@ HIDE_WORDS = 0.4
 #: Pages whose blocks go through the network together.
 RUN_BATCH = 256
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+_SPECIAL = re.compile(r"[>\"']")
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-zA-Z]+")
 #: Fixed sets of HTML element names.
@@ -56,119 +62,192 @@ _SCOPE = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "t
 
 @dataclass
 class Block:
-    path: tuple[str, ...]  # of names; "a.b" is tag a with the name part b
+    path: int  # the hashed parts of the open tags, as bits
     text: str
     linked: int  # characters in links
 
 
+@lru_cache(maxsize=100_000)
+def part_bit(part: str) -> int:
+    """The bit of a tag, of a part of a class or id, or of the last two tags together."""
+    raw = np.frombuffer(part.encode("utf-8", "replace"), dtype=np.uint8)
+    return 1 << int(hash_spans(raw, np.array([0]), np.array([len(raw)]))[0] % np.uint64(PATH_SLOTS))
+
+
+class Tags:
+    """The tags of a page, one after the other, in a time that grows with the page and no faster."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.dead: set[int] = set()  # quotes and ends from which no tag ends
+        self.ahead = (0, -1)  # from the first to the second of these, the next special character is the second
+        self.unclosed: set[str] = set()
+
+    def _special(self, at: int) -> int:
+        if not self.ahead[0] <= at <= self.ahead[1]:
+            m = _SPECIAL.search(self.page, at)
+            self.ahead = (at, m.start() if m else len(self.page))
+        return self.ahead[1]
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose name ended here: at the next > that is not quoted; -1 if there is none."""
+        seen = []
+        while at <= self.last[">"]:
+            place = self._special(at)
+            if place >= len(self.page) or place in self.dead:
+                break
+            if self.page[place] == ">":
+                return place
+            seen.append(place)
+            quote = self.page[place]
+            if place == self.last[quote]:
+                break
+            at = self.page.index(quote, place + 1) + 1
+        self.dead.update(seen)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str] | None:
+        """(start, end, name with a / before if it closes, the rest) of the next tag; comments and the like have no name."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith("<!--", start):
+                found = page.find("-->", start + 4)
+                return start, found + 3 if found >= 0 else len(page), "", ""
+            if page.startswith("<![CDATA[", start):
+                found = page.find("]]>", start + 9)
+                return start, found + 3 if found >= 0 else len(page), "", page[start + 9 : found if found >= 0 else len(page)]
+            if start > self.last[">"]:
+                continue
+            if page[at : at + 1] in ("!", "?"):
+                return start, page.index(">", at) + 1, "", ""
+            if (m := _NAME.match(page, at)) and (found := self.end(m.end())) >= 0:
+                return start, found + 1, m[0].lower(), page[m.end() : found]
+        return None
+
+    def closing(self, tag: str, at: int) -> int:
+        """Where the next closing tag of that name ends, -1 if there is none."""
+        if tag in self.unclosed:
+            return -1
+        m = _closing(tag).search(self.page, at)
+        if m is None:
+            self.unclosed.add(tag)
+            return -1
+        return m.end()
+
+
+@lru_cache(maxsize=64)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*+>", re.I)
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # tag, description
+    stack: list[str] = []  # open tags that aren't inline
+    masks = [0]  # the bits of all of them, up to each
+    where: dict[str, list[int]] = defaultdict(list)  # places of a tag in the stack
     held: list[str] = []
-    linked = links = 0
-    at, end = 0, len(page)
+    linked, link = 0, -1  # link: how many tags were open where the open link began
+    source = Tags(page)
 
     def close_block() -> None:
         nonlocal held, linked
         if held:
             text = " ".join("".join(held).split())
-            if text:
-                out.append(Block(tuple(d for t, d in stack if t not in INLINE), text, linked))
+            if text and not where["head"]:
+                out.append(Block(masks[-1] | part_bit(">".join(stack[-2:])), text, linked))
         held, linked = [], 0
 
+    def cut(place: int) -> None:
+        nonlocal link
+        while len(stack) > place:
+            where[stack.pop()].pop()
+            masks.pop()
+        if link > len(stack):
+            link = -1
+
+    def close_head() -> None:
+        if where["head"]:
+            close_block()
+            cut(where["head"][0])
+
     def add(raw: str) -> None:
         nonlocal linked
         if raw:
             text = html_module.unescape(raw) if "&" in raw else raw
             held.append(text)
-            if links:
+            if link >= 0:
                 linked += len(text.strip())
 
-    def close_head() -> None:
-        for i, (t, _) in enumerate(stack):
-            if t == "head":
-                close_block()
-                del stack[i:]
-                break
-
-    while at < end:
-        m = _TAG.search(page, at)
-        raw = page[at : m.start() if m else end]
+    at = 0
+    while at < len(page):
+        found = source.next(at)
+        raw = page[at : found[0] if found else len(page)]
         if raw and not raw.isspace():
             close_head()
         add(raw)
-        if m is None:
+        if found is None:
             break
-        at = m.end()
-        closing, tag = m[1], (m[2] or "").lower()
-        if tag and not closing and tag not in _IN_HEAD:
-            close_head()
+        _, at, tag, rest = found
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>"))
-            continue
-        if closing:
-            if tag in INLINE:
-                links -= tag == "a" and links > 0
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-                continue
-            close_block()
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
-                links = sum(t == "a" for t, _ in stack)
-            continue
-        if tag == "br":
-            held.append(" ")
-            continue
-        if tag in RAW:
-            done = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if done is None and tag not in ("script", "style", "textarea", "title"):
-                continue  # never closed: only the tag itself goes
-            at = done.end() if done else end
-            held.append(" ")
-            continue
-        if tag in INLINE:
+            add(rest)  # what CDATA holds
+        elif tag[0] == "/":
+            tag = tag[1:]
             if tag == "a":
-                links = 1
-                stack = [x for x in stack if x[0] != "a"]
+                link = -1
+            elif tag not in INLINE:
+                close_block()
+                if where[tag]:
+                    cut(where[tag][-1])
+        elif tag == "br":
+            held.append(" ")
         else:
+            if tag not in _IN_HEAD:
+                close_head()
+            if tag in RAW:
+                done = source.closing(tag, at)
+                if done >= 0 or tag in ("script", "style", "textarea", "title"):  # else only the tag itself goes
+                    at = done if done >= 0 else len(page)
+                    held.append(" ")
+                continue
+            open_ = not rest.rstrip().endswith("/")
+            if tag in INLINE:
+                if tag == "a" and open_:
+                    link = len(stack)
+                continue
             close_block()
-            shut, scope = _CLOSES.get(tag, ("p",)), _SCOPE.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in scope:
-                    break
-                if stack[i][0] in shut:
-                    del stack[i:]
-            links = sum(t == "a" for t, _ in stack)
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
-            names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])) if "=" in m[3] else ""
-            parts = sorted({p.lower() for p in _PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names))})
-            stack.append((tag, "|".join([tag, *parts])))
+            scope = max((where[t][-1] for t in _SCOPE.get(tag, ()) if where[t]), default=-1)
+            shut = [i for t in _CLOSES.get(tag, ("p",)) for i in _above(where[t], scope)]
+            if shut:
+                cut(min(shut))
+            if tag not in VOID and open_:
+                names = " ".join(a or b or c for a, b, c in _NAMES.findall(rest)) if "=" in rest else ""
+                mask = masks[-1] | part_bit(tag)
+                for part in {p.lower() for p in _PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names))}:
+                    mask |= part_bit(part)
+                where[tag].append(len(stack))
+                stack.append(tag)
+                masks.append(mask)
     close_block()
-    return [b for b in out if not (b.path and "head" in (p.split("|")[0] for p in b.path))]
-
-
-def path_slots(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed parts of a path: tags, names, and the last two tags together."""
-    parts = set()
-    tags = [p.split("|")[0] for p in path]
-    for p in path:
-        parts.update(p.split("|"))
-    parts.add(">".join(tags[-2:]))
-    out = np.zeros(PATH_SLOTS)
-    for p in parts:
-        raw = np.frombuffer(p.encode(), dtype=np.uint8)
-        out[int(hash_spans(raw, np.array([0]), np.array([len(raw)]))[0] % np.uint64(PATH_SLOTS))] = 1.0
     return out
 
 
+def _above(places: list[int], limit: int) -> list[int]:
+    """The last of ascending places that are beyond a limit."""
+    n = len(places)
+    while n and places[n - 1] > limit:
+        n -= 1
+    return places[n:]
+
+
+def path_slots(path: int) -> np.ndarray:
+    """The bits of a path as a vector."""
+    raw = np.frombuffer(path.to_bytes(PATH_SLOTS // 8, "little"), dtype=np.uint8)
+    return np.unpackbits(raw, bitorder="little").astype(float)
+
+
 def block_vectors(found: list[Block], n: list[int]) -> np.ndarray:
     """Hashed words and measures of blocks; n: how many blocks each page has."""
     raw, offsets = text_column(pa.array([b.text for b in found], pa.string()))
@@ -472,7 +551,7 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     """page_id, url, text, n_chars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, ...], np.ndarray] = {}
+        known: dict[int, np.ndarray] = {}
         for whole in batches:
             for a in range(0, whole.num_rows, 1024):
                 batch = whole.slice(a, 1024)

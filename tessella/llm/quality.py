@@ -28,6 +28,8 @@ FIT_ROWS = 16_000
 LEAST_PROBABILITY = 0.5
 #: Base rules: fewest words, and the largest percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
+#: Bytes whose counts are taken together.
+_BYTES = 1 << 20
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeated", "capitals", "digits", "exclamations", "pipes", "line_words", "beyond_ascii", "stops", "commas")
 #: The verdict can't rise with more symbols, duplicate lines, repeated windows or exclamation marks.
@@ -40,13 +42,27 @@ def _per_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(total[bounds])
 
 
+def _byte_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each byte occurs in each row, a block of bytes at a time."""
+    rows = len(offsets) - 1
+    out = np.zeros(rows * 256, dtype=np.int64)
+    for a in range(0, len(raw), _BYTES):
+        part = raw[a : a + _BYTES]
+        row = np.searchsorted(offsets, a, side="right") - 1
+        last = np.searchsorted(offsets, a + len(part), side="left")
+        sizes = np.diff(np.clip(offsets[row : last + 1], a, a + len(part)))
+        key = np.repeat(np.arange(len(sizes), dtype=np.int64) * 256, sizes) + part
+        found = np.bincount(key, minlength=len(sizes) * 256)
+        out[row * 256 : row * 256 + len(found)] += found
+    return out.reshape(rows, 256)
+
+
 def statistics(raw: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The exact counts of each row, and its features (rows by features)."""
     rows, sizes = len(offsets) - 1, np.diff(offsets)
     words = find_words(raw, offsets)
     n_words = np.diff(words.first)
-    key = np.repeat(np.arange(rows, dtype=np.int64) * 256, sizes) + raw
-    hist = np.bincount(key, minlength=rows * 256).reshape(rows, 256)
+    hist = _byte_counts(raw, offsets)
     continuation = hist[:, 0x80:0xC0].sum(1)
     separators = hist[:, 0x20] + hist[:, 0x09:0x0E].sum(1)
     points = sizes - continuation
@@ -111,7 +127,7 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarr
 def _features(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for part, raw, offsets in arrow_slices(batch):
         _, x = statistics(raw, offsets)
-        yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("label")), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
+        yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> gbdt.Trees:
@@ -122,8 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> gbdt.Trees:
         .orderBy(spread(F.col("doc_id")), "label")
         .limit(rows)
     )
-    joined = texts(docs).join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most `rows` rows of two numbers
-    found = arrow_map(joined, _features, "label int, x array<double>").limit(2 * rows).toArrow()
+    joined = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # at most `rows` rows of two numbers
+    # An id with several texts or labels: the first `rows` by a total order, whichever task is first.
+    found = arrow_map(joined, _features, "doc_id long, label int, x array<double>").orderBy(spread(F.col("doc_id")), "label", "x").limit(rows).toArrow()
     if not found.num_rows:
         return gbdt.fit(np.zeros((0, len(FEATURES))), np.ones(0))
     x = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))

@@ -27,7 +27,8 @@ they are shuffled, and joined back with skew handling.
 Edge cases: null and empty texts have no words; a null doc_id has no smaller
 or larger ids, so nothing is removed from it or because of it; rows that
 repeat a doc_id aren't repeats of each other, and a span found in one of them
-holds for the row it was found in (told apart by a hash of the text).
+holds for the row it was found in (told apart by a hash of the text); an empty
+table has no rows; columns of any other name are kept by ``drop_repeats``.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_map, arrow_slices, reliable, table, texts
+from tessella.llm.common import arrow_map, arrow_slices, private, reliable, table, texts
 from tessella.llm.textkernel import Words, find_words, hash_spans, mix64, ngram_hashes, window_hashes
 
 WINDOW, PREFIX = 50, 16
@@ -282,9 +283,11 @@ def digest(text: str | None) -> str:
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with its repeats taken out of text (and n_chars); texts without any stay as they are."""
-    out = remove(docs, window).where("n_removed > 0").select(F.col("doc_id").alias("own_id"), F.col("text_id").alias("own_text"), "kept")
-    named = docs.withColumn("own_id", F.col("doc_id").cast("long")).withColumn("own_text", F.hash(F.col("text").cast("string")))
-    joined = named.hint("shuffle_hash").join(out.dropDuplicates(["own_id", "own_text"]).hint("shuffle_hash"), ["own_id", "own_text"], "left")
-    text = F.coalesce("kept", "text")
-    values = {"text": text, "n_chars": F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {"text": text}
-    return joined.select(*(values[c].alias(c) if c in values else F.col(c) for c in docs.columns))
+    own_id, own_text, kept = private(docs, "id", "text", "kept")
+    out = remove(docs, window).where("n_removed > 0").select(F.col("doc_id").alias(own_id), F.col("text_id").alias(own_text), F.col("kept").alias(kept))
+    named = docs.withColumn(own_id, F.col("doc_id").cast("long")).withColumn(own_text, F.hash(F.col("text").cast("string")))
+    joined = named.hint("shuffle_hash").join(out.dropDuplicates([own_id, own_text]).hint("shuffle_hash"), [own_id, own_text], "left")
+    values = {"text": F.coalesce(kept, "text")}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast(docs.schema["n_chars"].dataType))
+    return joined.select(*(values[c].alias(c) if c in values else F.col(f"`{c}`") for c in docs.columns))

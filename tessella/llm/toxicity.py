@@ -123,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Weights:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["doc_id", "label", "slots"])
 
     joined = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # at most `rows` rows of two numbers
-    found = arrow_map(joined, run, "doc_id long, label int, slots array<int>").limit(2 * rows).toArrow()
+    # An id with several texts or labels: the first `rows` by a total order, whichever task is first.
+    found = arrow_map(joined, run, "doc_id long, label int, slots array<int>").orderBy(spread(F.col("doc_id")), "label", F.xxhash64("slots")).limit(rows).toArrow()
     ids, y = found["doc_id"].to_numpy(), found["label"].to_numpy().astype(float)
     slots = [np.asarray(x.values) for x in found["slots"]]
     order = sorted(range(len(y)), key=lambda i: (ids[i], y[i], len(slots[i])))

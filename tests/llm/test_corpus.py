@@ -5,6 +5,7 @@ import html
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -445,3 +446,28 @@ def test_words_are_merged_as_the_library_does():
     assert 0 < sum(x is None for x in found) < 1500
     assert all(x is None or np.frombuffer(x, "<u2").tolist() == library.encode(w, add_special_tokens=False).ids for w, x in zip(made, found, strict=True))
     assert merges.encode([]) == []
+
+
+@pytest.mark.parametrize("piece", ["<a '", "<svg>", "<div>x", "<a ", "<", "<!--", "<select><option>", "<p>z", "<a>t"])
+def test_blocks_of_a_page_that_never_closes(piece):
+    """A time in proportion to the page: a quadratic scan of a megabyte takes hours."""
+    began = time.process_time()
+    pages.blocks(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 40
+
+
+def test_drop_repeats_with_names_of_its_own(odd):
+    whole = {(r.doc_id, r.text_id): r for r in repeats.remove(odd).collect()}
+    found = repeats.drop_repeats(odd)
+    assert found.columns == odd.columns and found.count() == odd.count()
+    assert {r.kept for r in found.collect()} == {"own"}
+    changed = {r.doc_id: r.text for r in found.collect() if r.doc_id in (8, 10)}
+    assert changed == {i: r.kept for (i, _), r in whole.items() if i in (8, 10)}
+    assert near.keep_first(odd.withColumn("own_id", F.lit(1))).columns == [*odd.columns, "own_id"]
+
+
+def test_byte_counts_in_blocks(monkeypatch):
+    monkeypatch.setattr(quality, "_BYTES", 7)
+    texts_ = [b"", b"abc", b"x" * 30, b"", b"hello world", b""]
+    raw, offsets = np.frombuffer(b"".join(texts_), np.uint8), np.cumsum([0, *map(len, texts_)])
+    assert (quality._byte_counts(raw, offsets) == np.array([np.bincount(np.frombuffer(t, np.uint8), minlength=256) for t in texts_])).all()
