@@ -16,10 +16,17 @@ grows with queries times segments.
 For largest inner products, vectors get one more component that makes all
 norms equal; for vectors of one length it is 0.
 
+More trees let fewer bits do: at 64 trees a neighbour at a cosine of 0.3 is
+among the candidates with a chance of 0.96 where 0.63 of all rows are, at 16
+trees with one of 0.90.  Vectors without any structure, as those of the test
+tables, can't be pruned further without losing neighbours.
+
 Edge cases: vectors that are null, all zeros, or hold null or non-finite
 components take no part, as queries or as candidates, and neither do those
 whose length isn't the most frequent one, nor rows without an id.  Rows that
-repeat an id are candidates of their own, but a query never finds its own id.
+repeat an id are candidates of their own, but a query never finds its own id;
+an empty table has no rows, and columns other than vec_id and embedding aren't
+read.
 """
 
 from __future__ import annotations
@@ -35,7 +42,7 @@ from pyspark.sql import Window as W
 from tessella.llm.common import table
 
 NEIGHBOURS, QUERY_STEP = 20, 20
-TREES, BITS = 16, 64
+TREES, BITS = 64, 64
 #: Rows in a segment and queries in a block, about.
 SEGMENT_ROWS, BLOCK_ROWS = 16_384, 1_024
 #: The trees ascend until so many candidates are below them: a share of the segment, and at least so many.
@@ -141,16 +148,16 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, share: float = CAN
         out = []
         for a in range(0, len(y), 256):
             found = forest.candidates(hashes[a : a + 256], least)
-            near = np.where(found, y[a : a + 256] @ x.T, -np.inf)
-            near[query_ids[a : a + 256, None] == ids[None, :]] = -np.inf
-            for q, row in enumerate(near):
-                some = np.count_nonzero(row > -np.inf)
-                if not some:
+            for q, mine in enumerate(found):
+                gathered = np.flatnonzero(mine)
+                gathered = gathered[ids[gathered] != query_ids[a + q]]
+                if not len(gathered):
                     continue
-                keep = min(k, some)
+                row = x[gathered] @ y[a + q]
+                keep = min(k, len(row))
                 edge = np.partition(row, len(row) - keep)[len(row) - keep]
                 # A little below the edge as well: the product of single rows decides ties.
-                best = np.flatnonzero((row >= edge - 1e-9 * max(1.0, abs(edge))) & (row > -np.inf))
+                best = gathered[row >= edge - 1e-9 * max(1.0, abs(edge))]
                 score = np.array([float(np.dot(y[a + q], x[b])) for b in best])
                 order = np.lexsort((ids[best], -score))[:keep]
                 out.append((np.full(len(order), query_ids[a + q]), ids[best][order], score[order]))

@@ -471,3 +471,19 @@ def test_byte_counts_in_blocks(monkeypatch):
     texts_ = [b"", b"abc", b"x" * 30, b"", b"hello world", b""]
     raw, offsets = np.frombuffer(b"".join(texts_), np.uint8), np.cumsum([0, *map(len, texts_)])
     assert (quality._byte_counts(raw, offsets) == np.array([np.bincount(np.frombuffer(t, np.uint8), minlength=256) for t in texts_])).all()
+
+
+@pytest.mark.parametrize("at", ["sf0.01", "sf0.1"])
+def test_forest_recall_on_larger_tables(spark, at):
+    folder = f"/root/testdata/{at}"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    found = defaultdict(set)
+    for r in forest.query(spark, folder).collect():
+        found[r.query_id].add(r.vec_id)
+    assert len(found) == (ids % 20 == 0).sum()
+    hits = 0
+    for q, mine in found.items():
+        score = np.where(ids == q, -np.inf, x @ x[np.flatnonzero(ids == q)[0]])
+        hits += len(mine & set(ids[np.argsort(-score)[:20]].tolist()))
+    assert hits / (20 * len(found)) >= 0.95
