@@ -27,5 +27,5 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-for _module in ("text_queries", "evidence_queries", "library_queries", "binding_queries", "record_queries"):
+for _module in ("text_queries", "evidence_queries", "library_queries", "binding_queries", "record_queries", "grounding_queries"):
     import_module(f"tessella.plans.{_module}")
