@@ -194,11 +194,14 @@ def fuzzy_sequences(spark, sf_dir):
     return rows.select(*_KEY, M.close_hits(F.col("a"), F.col("b")).alias("n_close"), M.close_sequence(F.col("a"), F.col("b")).alias("in_row"))
 
 
+_PLAIN = r"regexp_replace(regexp_replace(lower({0}), '[-\s]+', ' ', 'g'), '[^\p{{L}}\p{{N}}_ ]', ' | ', 'g')"
+
+
 @query(
     "alternation_hits",
-    rf"""WITH {SENTENCES}, {CONCEPTS}, p AS (SELECT item_id, {content("name")}[1] AS word, list_distinct(list_transform([list_slice({content("name")}, 1, 2), list_slice({content("name")}, 1, 3)], lambda x: array_to_string(x, ' '))) AS phrases FROM concepts WHERE len({content("name")}) > 1),
-  o AS (SELECT item_id, word, '(^|[^\p{{L}}\p{{N}}_])(' || array_to_string(list_transform(list_sort(list_transform(phrases, lambda p: {{'n': -length(p), 'p': p}})), lambda x: replace(x.p, ' ', '[-\s]+')), '|') || ')($|[^\p{{L}}\p{{N}}_])' AS pattern FROM p)
-  SELECT item_id, count(*) AS n_sentences, count(DISTINCT doc_id) AS n_documents FROM o JOIN (SELECT *, lower(sentence) AS low FROM sentences) ON contains(low, word) AND regexp_matches(low, pattern) GROUP BY item_id""",
+    f"""WITH {SENTENCES}, {CONCEPTS}, p AS (SELECT item_id, unnest([2, 3]) AS n, {content("name")} AS w FROM concepts WHERE len({content("name")}) > 1),
+  q AS (SELECT DISTINCT item_id, ' ' || {_PLAIN.format("array_to_string(w[1:n], ' ')")} || ' ' AS phrase FROM p), t AS (SELECT doc_id, sent_idx, ' ' || {_PLAIN.format("sentence")} || ' ' AS plain FROM sentences)
+  SELECT item_id, count(DISTINCT (doc_id, sent_idx)) AS n_sentences, count(DISTINCT doc_id) AS n_documents FROM q JOIN t ON contains(plain, phrase) GROUP BY item_id""",
 )
 def alternation_hits(spark, sf_dir):
     """Sentences that hold a short form of a concept's name; found among those that share its tokens, so no product is made."""
