@@ -16,7 +16,7 @@ HARD_PATTERNS = {
     "copyright": r"(copyright|©|\(c\))",
 }
 #: Characters that formulas are made of.
-MATH = "∑∏√∫≈≠≤≥±×÷∞∂∇∈∉⊂⊆⊄⊇∪∩→←↔⇒⇔=+<>^"
+MATH = "∑∏√∫≈≠≤≥±×÷∞∂∇∈∉⊂⊆⊄⊇∪∩→←↔⇒⇔αβγδεζηθικλμνξοπρστυφχψω"
 
 
 def line_statistics(blocks: DataFrame) -> DataFrame:

@@ -6,23 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def closure(nodes: DataFrame, most_levels: int = 32) -> DataFrame:
+def closure(nodes: DataFrame, most_levels: int | None = None) -> DataFrame:
     """(ancestor, node, depth) of every node and all above it, itself included (depth 0).
 
-    nodes: node, parent (null at the root).  Levels are joined one by one, each
-    with the level before, until one is empty; a cycle ends at ``most_levels``.
+    nodes: node, parent (null at the root).  Steps double: pairs that are 1, 2,
+    4 ... levels apart, so a hierarchy of any depth takes a few joins.  A cycle
+    is an error, unless a caller who wants no more than ``most_levels`` says so.
     """
     edges = nodes.select("node", "parent")
-    level = edges.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth"))
-    out, depth = level, 0
-    up = edges.select(F.col("node").alias("ancestor"), "parent").where("parent is not null")
-    while depth < most_levels:
-        depth += 1
-        level = level.join(up, "ancestor").select(F.col("parent").alias("ancestor"), "node", F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+    out = edges.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth"))
+    step = edges.where("parent is not null").select(F.col("parent").alias("ancestor"), "node")
+    most = edges.count() if most_levels is None else most_levels
+    span = 1
+    while span <= most and not step.isEmpty():
+        above = step.select(F.col("ancestor").alias("above"), F.col("node").alias("ancestor"))
+        out = out.unionByName(out.join(above, "ancestor").select(F.col("above").alias("ancestor"), "node", (F.col("depth") + span).alias("depth")))
+        step = step.join(above, "ancestor").select(F.col("above").alias("ancestor"), "node").persist()
+        span *= 2
+    if most_levels is None:
+        if not step.isEmpty():  # further apart than there are nodes
+            raise ValueError("the hierarchy has a cycle")
+        return out
+    return out.where(F.col("depth") <= most_levels)
 
 
 def paths(nodes: DataFrame, closed: DataFrame) -> DataFrame:

@@ -12,12 +12,15 @@ from tessella.functions import text as T
 SLICE = 512
 #: Phrases that make a sentence look like one of a kind.
 CUES = {
-    "definition": [" is a ", " is an ", " is the ", " defined as ", " refers to ", " denotes ", " called ", " means "],
-    "procedure": ["algorithm", "compute", "for each", "input", "output", "procedure", "repeat", "until"],
-    "example": ["consider", "e.g.", "example", "for instance", "suppose"],
-    "transition": ["after that", "before we", "finally", "in the following", "let us", "recall", "remember"],
-    "navigation": ["agenda", "appendix", "chapter", "contents", "overview", "references", "summary", "thank you"],
-    "affiliation": ["department", "faculty", "institute", "professor", "school", "university"],
+    "definition": [" is a ", " is an ", " is the ", " defined as ", " refers to ", " denotes ", " we call ", " called ", " means "],
+    "procedure": ["algorithm", "compute", "else", "for each", "if", "input", "invoke", "output", "pick", "procedure", "repeat", "select", "set", "split", "step", "then", "until"],
+    "example": ["consider", "e.g.", "example", "for example", "for instance", "suppose"],
+    "transition": ["after that", "before we", "finally", "in the following", "let us", "next", "now", "recall", "remember", "we now", "we will"],
+    "navigation": [
+        "agenda", "appendix", "block", "chapter", "closing", "contents", "exercise", "exercises", "next", "outline", "overview", "previous", "question", "questions",
+        "recall", "recap", "references", "running example", "section", "summary", "thank you", "topic", "unit",
+    ],
+    "affiliation": ["chair", "department", "faculty", "institute", "professor", "school", "university"],
 }
 
 

@@ -1,5 +1,6 @@
 """Operators that SQL can't express, against plain loops, and edge cases."""
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -61,6 +62,10 @@ def test_missing_heading_breaks_a_span(spark):
 def test_closure_of_a_cycle_ends(spark):
     nodes = spark.createDataFrame([("a", "b"), ("b", "a")], "node string, parent string")
     assert graph.closure(nodes, 4).count() == 2 * 5
+    with pytest.raises(ValueError, match="cycle"):
+        graph.closure(nodes)
+    deep = spark.createDataFrame([(i, i - 1 if i else None) for i in range(41)], "node long, parent long")
+    assert graph.closure(deep).count() == 41 * 42 // 2
 
 
 def test_merge_replaces_whole_keys(spark):
