@@ -65,9 +65,9 @@ def planes(dim: int, trees: int = TREES, seed: int = 7) -> np.ndarray:
 def strings(x: np.ndarray, extra: np.ndarray, p: np.ndarray) -> np.ndarray:
     """The hash strings (rows by trees) as numbers whose order is that of the strings."""
     out = np.empty((len(x), p.shape[1] // BITS), dtype=np.uint64)
-    for a in range(0, len(x), 4096):
-        bits = (x[a : a + 4096] @ p[:-1] + extra[a : a + 4096, None] * p[-1]) > 0
-        out[a : a + 4096] = np.packbits(bits.reshape(len(bits), -1, BITS), axis=2).view(">u8")[:, :, 0]
+    for a in range(0, len(x), 512):  # projections of 512 rows at a time: 17 MB at 64 trees
+        bits = (x[a : a + 512] @ p[:-1] + extra[a : a + 512, None] * p[-1]) > 0
+        out[a : a + 512] = np.packbits(bits.reshape(len(bits), -1, BITS), axis=2).view(">u8")[:, :, 0]
     return out
 
 
