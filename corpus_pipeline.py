@@ -4,6 +4,14 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet in the shared folder and reads it again for the next stage, so a
 lost executor costs no more than the stage at hand.  Labels are read from
 ``sf_dir``; a stage learns from those of the documents that it is given.
+
+Edge cases: a null or empty text is no failure of a stage, but the quality
+rules reject whatever has fewer than 50 words, so none reaches the others; a
+document with a null doc_id is nobody's duplicate and is packed as it is; rows
+that repeat a doc_id stay or go each by its own text; columns of other names,
+those that operators use for their own included, are kept up to the last stage;
+without labels the rules and weights let everything pass that the counts allow;
+an empty table gives no sequences.
 """
 
 from __future__ import annotations
