@@ -487,3 +487,18 @@ def test_forest_recall_on_larger_tables(spark, at):
         score = np.where(ids == q, -np.inf, x @ x[np.flatnonzero(ids == q)[0]])
         hits += len(mine & set(ids[np.argsort(-score)[:20]].tolist()))
     assert hits / (20 * len(found)) >= 0.95
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, labels, tmp_path):
+    import corpus_pipeline
+
+    for name, docs, marks in (("odd", odd.withColumn("own_id", F.lit(1)), labels), ("none", none, labels.limit(0))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        marks.write.parquet(f"{folder}/labels.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, folder).columns == docs.columns
+        found = corpus_pipeline.run(spark, folder)
+        assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(found.columns)
+        assert {r.doc_id for r in found.collect()} <= {r[0] for r in docs.select("doc_id").collect()}
+        assert name == "odd" or found.count() == 0
