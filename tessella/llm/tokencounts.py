@@ -10,11 +10,16 @@ A commit writes the new totals beside the old ones and then publishes them by
 creating one small file, which fails if someone else was faster (it is then
 tried again on the newer totals).  The file names the batches that its totals
 contain; a batch that is committed again changes nothing.  A job that dies
-before publishing leaves files that nobody reads.
+before publishing leaves files that nobody reads.  Publishing is a rename onto
+a name that must not exist: that excludes a second writer on HDFS and on file
+systems that rename like it.  On local folders and plain object stores the
+check and the rename are two steps, so there one writer at a time may commit.
 
 Edge cases: a null text has no tokens; null sources and languages are groups
 of their own; groups whose documents and tokens are both 0 vanish from the
-totals; an empty batch is recorded and changes nothing.
+totals; an empty batch is recorded and changes nothing; rows that repeat a
+doc_id or a text count each for itself; a very long text is counted in one
+piece, with a few bytes for each of its own; an empty table has no totals.
 """
 
 from __future__ import annotations
@@ -65,17 +70,17 @@ TOKENIZERS = {"words-1": words_1, "runs-2": runs_2, "blanks-0": blanks_0}
 
 
 def counted(docs: DataFrame, versions: list[str]) -> DataFrame:
-    """doc_id, source, lang, copy_of (a hash of the text) and one column of counts for each tokenizer, in one pass."""
+    """doc_id, source, lang and one column of counts for each tokenizer, in one pass."""
     names = [f"n{i}" for i in range(len(versions))]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part, raw, offsets in arrow_slices(batch):
             columns = [pa.array(TOKENIZERS[v](raw, offsets), pa.int64()) for v in versions]
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], *columns], names=["doc_id", "source", "lang", "copy_of", *names])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=["doc_id", "source", "lang", *names])
 
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.md5(F.coalesce(text, F.lit(""))).alias("copy_of"), text.alias("text"))
-    return arrow_map(rows, run, "doc_id long, source string, lang string, copy_of string, " + ", ".join(f"{n} long" for n in names)).withColumnsRenamed(dict(zip(names, versions, strict=True)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
+    return arrow_map(rows, run, "doc_id long, source string, lang string, " + ", ".join(f"{n} long" for n in names)).withColumnsRenamed(dict(zip(names, versions, strict=True)))
 
 
 # ---- deltas
@@ -159,36 +164,34 @@ class Totals:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4_token_counts: the totals after five commits over all of ``documents``.
+    """op4_token_counts: the totals over all of ``documents``, after eight commits.
 
     All documents are inserted with an estimate of their words and with their
-    runs; the estimates are revised to exact counts; all but the first of equal
-    texts are deleted again; and one batch is sent twice.
+    runs; the estimates are revised to exact counts; the estimates are also
+    loaded as a version of their own, which is retired again; documents in
+    German are withdrawn and restored; and one batch is sent twice.
     """
     versions = ["words-1", "runs-2", "blanks-0"]
     counts = reliable(spark, counted(table(spark, sf_dir, "documents"), versions))
-    first = counts.groupBy("copy_of").agg(F.min("doc_id").alias("first_id"))
-    copies = counts.join(first, "copy_of").where("doc_id <> first_id")
+    german = counts.where("lang = 'de'")
     totals = Totals(spark, f"{shared_folder(spark)}/token-totals-{uuid.uuid4().hex}")
     totals.commit("load words", inserts(counts, "words-1", "blanks-0"))
     totals.commit("load runs", inserts(counts, "runs-2"))
+    totals.commit("load estimates", inserts(counts, "blanks-0"))
     totals.commit("exact words", revisions(counts, "words-1", "blanks-0", "words-1"))
     totals.commit("load runs", inserts(counts, "runs-2"))
-    totals.commit("copies", deletes(copies, "words-1").unionByName(deletes(copies, "runs-2")))
+    totals.commit("retire estimates", deletes(counts, "blanks-0"))
+    totals.commit("withdraw", deletes(german, "words-1").unionByName(deletes(german, "runs-2")))
+    totals.commit("restore", inserts(german, "words-1").unionByName(inserts(german, "runs-2")))
     return totals.read()
 
 
 ORACLE = r"""
-WITH first AS (
-  SELECT source, lang, coalesce(text, '') AS text
-  FROM documents
-  QUALIFY doc_id IS NULL OR doc_id = min(doc_id) OVER (PARTITION BY coalesce(text, ''))
-),
-counted AS (
+WITH counted AS (
   SELECT source, lang,
-         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
-         len(regexp_extract_all(text, '[A-Za-z0-9]+|[^\x20\x09-\x0DA-Za-z0-9]')) AS runs
-  FROM first
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+         len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^\x20\x09-\x0DA-Za-z0-9]')) AS runs
+  FROM documents
 )
 SELECT source, lang, 'words-1' AS tokenizer_version, count(*)::BIGINT AS documents, sum(words)::BIGINT AS tokens
 FROM counted GROUP BY source, lang
