@@ -379,6 +379,9 @@ def _named(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("text_id", F.xxhash64("text"))
 
 
+#: So many cut pieces, some 100 bytes each, are sent to every worker; more are joined by a shuffle.
+SENT_CUTS = 100_000
+
 _PIECE = "doc_id long, text_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -437,8 +440,12 @@ def pack(docs: DataFrame, name: str = VOCABULARY, window: int = WINDOW) -> DataF
 
     key = [F.col("d.doc_id").eqNullSafe(F.col("c.own_id")), F.col("d.text_id") == F.col("c.own_text")]
     asked = again.select(F.col("doc_id").alias("own_id"), F.col("text_id").alias("own_text"), "spans")
-    source = _named(docs).dropDuplicates(["doc_id", "text_id"]) if _repeats(measured) else _named(docs)
-    joined = source.alias("d").hint("shuffle_hash").join(asked.alias("c").hint("shuffle_hash"), key[0] & key[1]).select("doc_id", "text_id", "text", "spans")
+    # Texts of few documents are fetched where they lie; only beyond the bound do all texts move to their pieces.
+    few = placed.where("cut").limit(SENT_CUTS + 1).count() <= SENT_CUTS
+    source, asked = (_named(docs).alias("d"), F.broadcast(asked).alias("c")) if few else (_named(docs).alias("d").hint("shuffle_hash"), asked.alias("c").hint("shuffle_hash"))
+    joined = source.join(asked, key[0] & key[1]).select("doc_id", "text_id", "text", "spans")
+    if _repeats(measured):
+        joined = joined.dropDuplicates(["doc_id", "text_id"])
     return whole.unionByName(arrow_map(joined, divide, _PIECE)).drop("text_id")
 
 

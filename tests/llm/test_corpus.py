@@ -248,6 +248,15 @@ def test_packing_is_whole_and_tight(small, odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_cut_texts_come_the_same_both_ways(small, monkeypatch):
+    few = small.where("doc_id < 60")
+    docs = few.unionByName(few.where("doc_id < 30")).cache()  # a row that occurs twice is cut twice
+    sent = Counter(packing.pack(docs).collect())
+    assert any(r.start % packing.WINDOW for r in sent)
+    monkeypatch.setattr(packing, "SENT_CUTS", 0)
+    assert Counter(packing.pack(docs).collect()) == sent
+
+
 def test_plan_uses_every_tail_once():
     rng = np.random.default_rng(3)
     for histogram in (rng.integers(0, 50, 2049), np.bincount([700] * 999, minlength=2049), np.zeros(2049, np.int64)):
