@@ -18,18 +18,24 @@ def target_binding(exact: Column, shared: Column, name_size: Column, heading_sha
     return F.when(exact, "strong").when((share >= 0.6) & (shared >= 2), "usable").when((shared >= 1) & (heading_shared >= 1), "usable").when(shared >= 1, "weak").otherwise("none")
 
 
-def definition_framing(sentence: Column, name: Column) -> tuple[Column, Column]:
-    """(label, score): what the subject before the first linker has to do with the name."""
-    subject = F.lower(F.regexp_extract(sentence, rf"^(.*?){LINKERS}", 1))
-    has = F.length(subject) > 0
-    a, b = F.array_distinct(T.content_tokens(subject)), F.array_distinct(T.content_tokens(name))
-    shared = F.size(F.array_intersect(a, b)) / F.greatest(F.size(b), F.lit(1))
-    label = F.when(~has, "missing").when(shared >= 0.8, "aligned").when(shared > 0, "compatible").when(subject.rlike(r"^(unlike|in contrast|whereas|not )"), "contrastive").otherwise("mismatch")
+def subject_of(sentence: Column) -> Column:
+    """What stands before the first linker, in lower case; empty without one."""
+    return F.lower(F.regexp_extract(sentence, rf"^(.*?){LINKERS}", 1))
+
+
+def contrasts(subject: Column) -> Column:
+    return subject.rlike(r"^(unlike|in contrast|whereas|not )")
+
+
+def definition_framing(has: Column, contrast: Column, shared: Column, name_size: Column) -> tuple[Column, Column]:
+    """(label, score): what a subject has to do with a name of so many tokens that shares some with it."""
+    share = shared / F.greatest(name_size, F.lit(1))
+    label = F.when(~has, "missing").when(share >= 0.8, "aligned").when(share > 0, "compatible").when(contrast, "contrastive").otherwise("mismatch")
     score = F.when(label == "aligned", 2.5).when(label == "compatible", 1.7).when(label == "contrastive", -2.5).when(label == "mismatch", -1.75).otherwise(0.0)
     return label, score
 
 
-def risk_flags(flags: dict[str, Column], binding: Column, usage: Column, margin: Column) -> Column:
+def risk_flags(flags: Column | dict[str, Column], binding: Column, usage: Column, margin: Column) -> Column:
     """Names of all that speaks against a candidate, in a fixed order."""
     return F.array_compact(
         F.array(
