@@ -39,6 +39,8 @@ from tessella.llm.textkernel import find_words, hash_spans, mix64
 CHUNK_BYTES = 32 << 20
 #: Texts of so many bytes are packed at a time on their way to their chunks.
 _BUFFER_BYTES = 24 << 20
+#: Ranges of values that are sorted one after another, and pairs that are scored at a time.
+_RANGES, _SCORED = 8, 1 << 19
 #: Scores are learned from ids whose crc32 modulo FOLDS isn't HELD_OUT.
 FOLDS, HELD_OUT = 7, 2
 #: A first word is frequent (its pairs are dealt by the second) if it has such a share of a sample of texts.
@@ -73,6 +75,27 @@ def _get(b: bytes) -> np.ndarray:
     return out
 
 
+# ---- distinct values
+
+
+def _ranges(values: np.ndarray, top: int):
+    """Where the values of one range after another are, in ascending order of the ranges; all lie below ``top``."""
+    step = -(-top // _RANGES)
+    for low in range(0, top, step):
+        yield np.flatnonzero((values >= low) & (values <= min(low + step, top) - 1))
+
+
+def distinct(values: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct values and the place of each value among them; sorting all at once would take several times their memory."""
+    place, found, n = np.empty(len(values), np.int32), [values[:0]], 0
+    for at in _ranges(values, top):
+        part, inverse = np.unique(values[at], return_inverse=True)
+        place[at] = inverse + n
+        found.append(part)
+        n += len(part)
+    return np.concatenate(found), place
+
+
 # ---- a chunk
 
 
@@ -105,19 +128,28 @@ def read_chunk(blobs: list[bytes]) -> Chunk:
                 ids.append(part.column(0))
                 held.append(np.asarray(part.column(2).to_numpy(zero_copy_only=False), dtype=bool))
     token, size = np.concatenate(tokens), np.concatenate(sizes)
+    del tokens
     held_out, first = np.concatenate(held), np.concatenate([[0], np.cumsum(size)])
-    words, word_of = np.unique(np.append(token, START), return_inverse=True)
-    start, word_of = word_of[-1], word_of[:-1]
+    words, word_of = distinct(token, 1 << 48)
+    del token
+    start = int(np.searchsorted(words, START))
+    words = np.insert(words, start, START)
+    word_of[word_of >= start] += 1
     trains = np.repeat(~held_out, size)
-    before = np.empty_like(word_of)
-    before[1:] = word_of[:-1]
-    before[first[:-1]] = start
-    pairs, pair_of = np.unique(before * len(words) + word_of, return_inverse=True)
+    key = np.empty(len(word_of), np.int64)
+    key[1:] = word_of[:-1]
+    key[first[:-1]] = start
+    key *= len(words)
+    key += word_of
+    pairs, pair_of = distinct(key, len(words) ** 2)
+    del key
+    left, right = (x.astype(np.int32) for x in np.divmod(pairs, len(words)))
+    del pairs
     return Chunk(
         pa.concat_arrays(ids), held_out, first, words, word_of,
         np.bincount(word_of[trains], minlength=len(words)),
-        pairs // len(words), pairs % len(words), pair_of,
-        np.bincount(pair_of[trains], minlength=len(pairs)),
+        left, right, pair_of,
+        np.bincount(pair_of[trains], minlength=len(left)),
     )
 
 
@@ -194,21 +226,28 @@ def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def merge_pairs(rows: list[dict], shards: int) -> list[tuple]:
     """Answers for the pairs that a shard was asked for, and what they tell about their words."""
-    asked = []
-    for r in sorted((r for r in rows if r["kind"] == "pair"), key=lambda r: r["source"]):
-        asked.append((r["source"], np.repeat(_get48(r["a"]), _get(r["b"])), _get48(r["c"]), _get(r["d"])))
+    asked = sorted((r for r in rows if r["kind"] == "pair"), key=lambda r: r["source"])
     out = [(r["dest"], "word", r["source"], r["a"], r["b"]) for r in rows if r["kind"] == "word"]
     if not asked:
         return out
-    left, right, counts = (np.concatenate([x[i] for x in asked]) for i in (1, 2, 3))
-    hashes, at, inverse = np.unique(pair_hashes(left, right), return_index=True, return_inverse=True)
-    total = np.bincount(inverse, counts).astype(np.int64)
-    left, right = left[at], right[at]
-    del inverse, counts
+    of_left = lambda r: np.repeat(_get48(r["a"]), _get(r["b"]))
+    left = np.concatenate([of_left(r) for r in asked])
+    right = np.concatenate([_get48(r["c"]) for r in asked])
+    counts = np.concatenate([_get(r["d"]) for r in asked])
+    of = pair_hashes(left, right)
+    found = [], [], [], []
+    for at in _ranges(of, 1 << 64):
+        part, index, inverse = np.unique(of[at], return_index=True, return_inverse=True)
+        for to, x in zip(found, (part, np.bincount(inverse, counts[at], len(part)).astype(np.int64), left[at[index]], right[at[index]]), strict=True):
+            to.append(x)
+    del of, left, right, counts
+    hashes, total, left, right = (np.concatenate(x) for x in found)
+    del found
     me = rows[0]["dest"]
     with Mapped(hashes, total) as model:
-        for source, a, b, _ in asked:
-            out.append((source, "pairs", me, _put(model.look_up(pair_hashes(a, b)))))
+        del hashes
+        for r in asked:
+            out.append((r["source"], "pairs", me, _put(model.look_up(pair_hashes(of_left(r), _get48(r["c"]))))))
     seen = total > 0
     left, right, total = left[seen], right[seen], total[seen]
     words, inverse = np.unique(left, return_inverse=True)
@@ -274,10 +313,13 @@ def score_chunk(chunk: Chunk, pairs: np.ndarray, words: np.ndarray, pair_totals:
     some = np.maximum(starts, 1)
     weight = np.where(starts > 0, (d[1] * one + d[2] * two + d[3] * more) / some, 1.0)
     left, right = chunk.pair_left, chunk.pair_right
-    p = np.maximum(pairs - d[np.minimum(pairs, 3)], 0) / some[left] + weight[left] * lower[right]
+    of_pair = np.empty(len(pairs))
+    for i in range(0, len(pairs), _SCORED):
+        n, x, y = (a[i : i + _SCORED] for a in (pairs, left, right))
+        of_pair[i : i + _SCORED] = np.log10(np.maximum(n - d[np.minimum(n, 3)], 0) / some[x] + weight[x] * lower[y])
     base = np.log10((count + 1) / (total + vocabulary + 1))
     at = chunk.first[:-1]
-    known = np.add.reduceat((count > 0)[chunk.word_of].astype(np.int64), at)
+    known = np.add.reduceat((count > 0)[chunk.word_of], at, dtype=np.int64)
     return pa.table(
         {
             "doc_id": chunk.doc_id,
@@ -286,7 +328,7 @@ def score_chunk(chunk: Chunk, pairs: np.ndarray, words: np.ndarray, pair_totals:
             "n_known": pa.array(known),
             "train_tokens": pa.array(np.full(len(at), total)),
             "base_score": pa.array(np.add.reduceat(base[chunk.word_of], at)),
-            "score": pa.array(np.add.reduceat(np.log10(p)[chunk.pair_of], at)),
+            "score": pa.array(np.add.reduceat(of_pair[chunk.pair_of], at)),
         }
     )
 
