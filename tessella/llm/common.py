@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,3 +92,30 @@ def free(spark: SparkSession) -> None:
     """Has the driver drop shuffle files and checkpoints that nothing refers to, instead of when its heap fills up."""
     gc.collect()
     spark._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Has the driver's JVM give free memory outside of its heap back to the system; False where it has no such command.
+
+    Compilers and codecs of hundreds of threads allocate there, and the C
+    library keeps what they free, in the arenas of those threads.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+
+    def array(kind: str, values: list):
+        out = gateway.new_array(getattr(jvm, kind), len(values))
+        for i, value in enumerate(values):
+            out[i] = value
+        return out
+
+    # The server's own class is closed to callers; the interface isn't.
+    kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    invoke = jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", array("Class", [jvm.Class.forName(k) for k in kinds]))
+    name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    command = array("Object", [name, "systemTrimNativeHeap", array("Object", [array("String", [])]), array("String", ["[Ljava.lang.String;"])])
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), command)
+    except Py4JJavaError:
+        return False
+    return True

@@ -1,11 +1,14 @@
-"""What a chunk and a shard of the language model hold at once, for each token and pair."""
+"""What a chunk and a shard of the language model hold at once, for each token and pair; what the driver's JVM gives back."""
 
+import re
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from tessella.llm import ngram
+from tessella.llm import common, ngram
 
 
 def peak_of(run):
@@ -49,3 +52,24 @@ def test_distinct_is_unique_in_ranges():
             assert (found == expected).all() and (place == inverse).all() and found.dtype == values.dtype
     ends = np.array([0, 1 << 63, (1 << 64) - 1, 7], dtype=np.uint64)
     assert sorted(np.concatenate(list(ngram._ranges(ends, 1 << 64)))) == [0, 1, 2, 3]
+
+
+def test_free_gives_native_memory_back(spark):
+    """What the JVM has allocated and freed outside of its heap stays with the C library below any block still in use."""
+    jvm, pid = spark._jvm, int(spark._jvm.java.lang.management.ManagementFactory.getRuntimeMXBean().getName().split("@")[0])
+    held = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1]) >> 10
+    if not common.trim(spark):
+        pytest.skip("this JVM has no System.trim_native_heap")
+    platform, n = jvm.org.apache.spark.unsafe.Platform, 1 << 16
+    data = spark.sparkContext._gateway.new_array(jvm.byte, n)
+    blocks = [platform.allocateMemory(n) for _ in range(3_000)]
+    for at in blocks:
+        platform.copyMemory(data, platform.BYTE_ARRAY_OFFSET, None, at, n)
+    for at in blocks[:-1]:
+        platform.freeMemory(at)
+    jvm.System.gc()
+    before = held()
+    common.free(spark)
+    after = held()
+    platform.freeMemory(blocks[-1])
+    assert after < before - 120
